@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import lines, mixing, quality, sharding, simhash, warc
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
+    "op4_warc": warc.op4_warc,
     "op5_sharding": sharding.op5_sharding,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLES = {"op9_mixing": mixing.OP9_SQL}
+ORACLES = {"op4_warc": warc.OP4_SQL, "op9_mixing": mixing.OP9_SQL}
