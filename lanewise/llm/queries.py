@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, sharding, simhash, warc
+from . import lines, mixing, quality, sharding, simhash, warc, weighted
 
 QUERIES = {
+    "op2_fingerprints": weighted.op2_fingerprints,
     "op1_line_dedup": lines.op1_line_dedup,
     "op4_warc": warc.op4_warc,
     "op5_sharding": sharding.op5_sharding,
