@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, sharding, simhash, warc, weighted
+from . import lines, mixing, quality, sharding, simhash, toxicity, warc, weighted
 
 QUERIES = {
     "op2_fingerprints": weighted.op2_fingerprints,
     "op1_line_dedup": lines.op1_line_dedup,
     "op4_warc": warc.op4_warc,
     "op5_sharding": sharding.op5_sharding,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_simhash": simhash.op7_simhash,
     "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
