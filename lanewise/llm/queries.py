@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, sharding, simhash, toxicity, warc, weighted
+from . import lines, mixing, quality, secrets, sharding, simhash, toxicity, warc, weighted
 
 QUERIES = {
     "op2_fingerprints": weighted.op2_fingerprints,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLES = {"op4_warc": warc.OP4_SQL, "op9_mixing": mixing.OP9_SQL}
