@@ -66,7 +66,7 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("keeper") == F.col("id"), F.col("hash"))).alias("once"),
     )
     cuts = stage(cuts, "line-cuts").select(F.col("id").alias("_id"), F.col("gone").alias("_gone"), F.col("once").alias("_once"))
-    joined = docs.join(cuts, own == F.col("_id"), "left")
+    joined = docs.join(cuts.hint("merge"), own == F.col("_id"), "left")  # the cuts grow with the corpus
 
     def keep(chunks: Column) -> Column:
         def of(hashes: Column) -> Column:
