@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, quality, secrets, sharding, simhash, toxicity, warc, weighted
+from . import lines, mixing, pieces, quality, secrets, sharding, simhash, toxicity, warc, weighted
 
 QUERIES = {
     "op2_fingerprints": weighted.op2_fingerprints,
     "op1_line_dedup": lines.op1_line_dedup,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_warc": warc.op4_warc,
     "op5_sharding": sharding.op5_sharding,
     "op6_toxicity": toxicity.op6_toxicity,
