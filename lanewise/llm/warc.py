@@ -23,7 +23,7 @@ from .common import shared_path, stage, table
 DICTIONARY_MAGIC, SKIPPABLE_LOW, SKIPPABLE_HIGH = 0x184D2A5D, 0x184D2A50, 0x184D2A5F
 #: An empty skippable frame; all its bytes are ASCII, so Spark takes it as a row separator.
 SEPARATOR = struct.pack("<II", SKIPPABLE_LOW, 0).decode("ascii")
-ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 32 << 20, 2 << 20, 32 << 10, 3
+ARCHIVE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 8 << 20, 2 << 20, 32 << 10, 3
 #: Payloads below this many bytes are never written as revisits.
 LEAST_REVISIT = 100
 #: The date of every record: the tables have none.
