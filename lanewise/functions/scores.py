@@ -5,11 +5,12 @@ All stay inside a row: permutations are literal arrays, so no race is joined or
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LANES = range(1, 7)
@@ -147,8 +148,8 @@ def trifecta_rank(scores: Column, ranks: Column) -> Column:
     return let(F.slice(true_order(ranks), 1, 3), lambda t: F.array_position(F.transform(exotics(scores, 3), lambda x: x["lanes"]), t).cast("int"))
 
 
-def full_order_ranks(batch: int = 10_000):
-    """A vectorized function of scores and ranks: struct(order_rank, set_rank) among the 720 full orders.
+def full_order_ranks(df: DataFrame, batch: int = 10_000) -> DataFrame:
+    """race_key, order_rank and set_rank among the 720 full orders, by numpy within tasks.
 
     order_rank: place of the true order by probability, ties in lexicographic order; set_rank: the best place of an
     order whose first three are the true ones. At most `batch` races are held against the 720 orders at once.
@@ -156,22 +157,21 @@ def full_order_ranks(batch: int = 10_000):
     index = np.array(list(permutations(range(6))))
     sets = np.sort(index[:, :3], axis=1) @ np.array([36, 6, 1])
 
-    @F.pandas_udf("struct<order_rank:int,set_rank:int>")
-    def ranked(scores: pd.Series, ranks: pd.Series) -> pd.DataFrame:
-        out = []
-        for at in range(0, len(scores), batch):
-            s = np.array(scores[at : at + batch].tolist(), dtype=float).reshape(-1, 6)
-            r = np.array([[7.0 if x is None or not x >= 1 else float(x) for x in row] for row in ranks[at : at + batch]]).reshape(-1, 6)
-            true = np.argsort(r, axis=1, kind="stable")
-            e = np.exp(s - s.max(axis=1, keepdims=True))[:, index]
-            log_p = (np.log(e) - np.log(np.cumsum(e[:, :, ::-1], axis=2)[:, :, ::-1])).sum(axis=2).round(12)
-            own = (index[None] == true[:, None]).all(axis=2).argmax(axis=1)
-            place = np.argsort(np.argsort(-log_p, axis=1, kind="stable"), axis=1, kind="stable") + 1
-            same = sets[None] == (np.sort(true[:, :3], axis=1) @ np.array([36, 6, 1]))[:, None]
-            out.append(pd.DataFrame({"order_rank": place[np.arange(len(s)), own], "set_rank": np.where(same, place, 721).min(axis=1)}))
-        return pd.concat(out) if out else pd.DataFrame({"order_rank": [], "set_rank": []}, dtype=int)
-
-    return ranked
+    def ranked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                s = np.array(part["scores"].tolist(), dtype=float).reshape(-1, 6)
+                r = np.array([[7.0 if x is None or not x >= 1 else float(x) for x in row] for row in part["ranks"]]).reshape(-1, 6)
+                true = np.argsort(r, axis=1, kind="stable")
+                e = np.exp(s - s.max(axis=1, keepdims=True))[:, index]
+                log_p = (np.log(e) - np.log(np.cumsum(e[:, :, ::-1], axis=2)[:, :, ::-1])).sum(axis=2).round(12)
+                own = (index[None] == true[:, None]).all(axis=2).argmax(axis=1)
+                place = np.argsort(np.argsort(-log_p, axis=1, kind="stable"), axis=1, kind="stable") + 1
+                same = sets[None] == (np.sort(true[:, :3], axis=1) @ np.array([36, 6, 1]))[:, None]
+                yield pd.DataFrame({"race_key": part["race_key"], "order_rank": place[np.arange(len(s)), own], "set_rank": np.where(same, place, 721).min(axis=1)})
+
+    return df.select("race_key", "scores", "ranks").mapInPandas(ranked, "race_key string, order_rank int, set_rank int")
 
 
 def full_nll(scores: Column, ranks: Column, top: int = 6, weights: tuple[float, ...] | None = None) -> Column:
