@@ -49,7 +49,7 @@ def order_probability(e: Column, whole: Column, picks: Column, n: int) -> Column
     p, left = F.lit(1.0), whole
     for k in range(n):
         s = e[picks[k] - 1]
-        p, left = p * (s / left), left - s
+        p, left = p * F.coalesce(F.try_divide(s, left), F.lit(0.0)), left - s  # nothing is left where scores lie very far apart
     return p
 
 
