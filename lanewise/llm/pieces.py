@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,10 @@ from .common import stage, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes of a block; characters of a unit that is folded in Spark (longer ones by a helper in tasks).
-BLOCK_BYTES, LONGEST_FOLDED = 16 << 20, 40
+BLOCK_BYTES, LONGEST_FOLDED = 8 << 20, 40
 #: Fixed values of the format: the sign for a space, and what an unknown character costs below the least score.
 SPACE, UNKNOWN_COST = "▁", 10.0
-UNIT = re.compile(r" *[^ \n]+| +|\n")
+UNIT = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 PACKED = "block string, unit int, word string, texts binary"
 IDS = "doc_id long, n_pieces int, ids array<int>, decoded_sha256 string"
 
@@ -64,8 +66,28 @@ class Pieces:
 
 
 def units_of(text: str) -> list[str]:
-    """The units of a text, which begins as if a space stood before it."""
-    return UNIT.findall(" " + text) if text else []
+    """The keys of a text's units, which begins as if a space stood before it.
+
+    A key without a space before it stands for the unit with one (the usual case, found by split()); keys that begin
+    with a line feed or a space are the units themselves.
+    """
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text:
+        return text.replace("\n", " \n").split(" ")
+    return [u[1:] if u[0] == " " and " " not in u[1:] else u for u in UNIT.findall(" " + text)]
+
+
+def spelled_unit(key: str) -> str:
+    return key.replace(" ", SPACE) if key[:1] in (" ", "\n") else SPACE + key
+
+
+class Numbers(dict):
+    """Numbers keys in the order of their first look-up."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -73,51 +95,69 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     A block is a stretch of an input partition, so that two passes over the same files give the same blocks.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("units", pa.list_(pa.int32()))])
 
-    def block(name: str, numbers: dict[str, int], ids: list, rows: list) -> pa.RecordBatch:
+    def block(name: str, numbers: Numbers, ids: list, offsets: array, flat: array) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.int32()))], schema=schema))
-        n = len(numbers)
-        return pa.RecordBatch.from_arrays([
-            pa.array([name] * (n + 1), pa.string()), pa.array([*range(n), None], pa.int32()),
-            pa.array([*(u.replace(" ", SPACE) for u in numbers), None], pa.string()), pa.array([None] * n + [sink.getvalue().to_pybytes()], pa.binary()),
-        ], ["block", "unit", "word", "texts"])
+        units = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
+        rows = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), units], ["doc_id", "units"])
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        names = ["block", "unit", "word", "texts"]
+        keys = iter(numbers)
+        for at in range(0, len(numbers), 20_000):
+            words = [spelled_unit(k) for k in islice(keys, 20_000)]
+            n = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(at, at + n), pa.int32()), pa.array(words, pa.string()), pa.nulls(n, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, at, size = None, 0, 0
-        numbers: dict[str, int] = {}
-        ids, rows = [], []
+        numbers, ids, offsets, flat = Numbers(), [], array("i", [0]), array("i")
         for b in batches:
             if b.num_rows:
                 task = b.column("task")[0].as_py()
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 text = text.as_py() or ""
-                rows.append(np.array([numbers.setdefault(u, len(numbers)) for u in units_of(text)], dtype=np.int32))
+                flat.extend(map(numbers.__getitem__, units_of(text)))
+                offsets.append(len(flat))
                 ids.append(doc_id)
                 size += len(text)
                 if size >= block_bytes:
-                    yield block(f"{task}-{at}", numbers, ids, rows)
-                    numbers, ids, rows, at, size = {}, [], [], at + 1, 0
+                    yield from block(f"{task}-{at}", numbers, ids, offsets, flat)
+                    numbers, ids, offsets, flat, at, size = Numbers(), [], array("i", [0]), array("i"), at + 1, 0
         if ids:
-            yield block(f"{task}-{at}", numbers, ids, rows)
+            yield from block(f"{task}-{at}", numbers, ids, offsets, flat)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("task")).mapInArrow(run, PACKED)
 
 
-def fold_path(edges: Column, n: Column) -> Column:
-    """Ids of the best path over n characters; edges: array of struct(start, size, id, score), in order."""
-    node = lambda score, ids: F.struct(score.cast("double").alias("score"), ids.cast("array<int>").alias("ids"))
-    empty = F.transform(F.sequence(F.lit(0), n), lambda i: node(F.when(i == 0, F.lit(0.0)), F.when(i == 0, F.array().cast("array<int>"))))
+def fold_path(edges: Column) -> Column:
+    """Ids of the best path; edges: array of struct(end, start, id, score), in that order, with one at least to each end.
 
-    def step(best: Column, e: Column) -> Column:
-        end = e["start"] + e["size"]
-        score = best[e["start"]]["score"] + e["score"]
-        better = best[end]["score"].isNull() | (score > best[end]["score"])
-        return F.when(better, F.transform(best, lambda x, i: F.when(i == end, node(score, F.array_append(best[e["start"]]["ids"], e["id"]))).otherwise(x))).otherwise(best)
-
-    return F.aggregate(edges, empty, step, lambda best: best[n]["ids"])
+    The fold keeps the best edge of every end that is behind it and of the one it is at, so an edge costs one look-up.
+    """
+    node = lambda score, start, id_: F.struct(score.cast("double").alias("score"), start.cast("int").alias("start"), id_.cast("int").alias("id"))
+    start = F.struct(F.array(node(F.lit(0.0), F.lit(0), F.lit(0))).alias("best"), F.lit(1).alias("end"), node(F.lit(None), F.lit(0), F.lit(0)).alias("now"))
+
+    def step(s: Column, e: Column) -> Column:
+        done = F.struct(F.array_append(s["best"], s["now"]).alias("best"), e["end"].alias("end"), node(F.get(s["best"], e["start"])["score"] + e["score"], e["start"], e["id"]).alias("now"))
+        # The edge of one character to a new end starts where the last one ends, so its start is looked up in both.
+        last = F.struct(F.array_append(s["best"], s["now"]).alias("best"), e["end"].alias("end"), node(s["now"]["score"] + e["score"], e["start"], e["id"]).alias("now"))
+        moved = F.when(e["start"] == s["end"], last).otherwise(done)
+        found = F.get(s["best"], e["start"])["score"] + e["score"]
+        better = s["now"]["score"].isNull() | (found > s["now"]["score"])
+        same = F.when(better, F.struct(s["best"].alias("best"), s["end"].alias("end"), node(found, e["start"], e["id"]).alias("now"))).otherwise(s)
+        return F.when(e["end"] > s["end"], moved).otherwise(same)
+
+    def back(s: Column) -> Column:
+        best = F.array_append(s["best"], s["now"])
+        walk = lambda all_: F.aggregate(
+            all_, F.struct((F.size(all_) - 1).alias("at"), F.array().cast("array<int>").alias("ids")),
+            lambda w, _: F.when(w["at"] > 0, F.struct(F.get(all_, w["at"])["start"].alias("at"), F.array_prepend(w["ids"], F.get(all_, w["at"])["id"]).alias("ids"))).otherwise(w), lambda w: w["ids"],
+        )
+        return F.transform(F.array(best), walk)[0]
+
+    return F.aggregate(edges, start, step, back)
 
 
 def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -129,10 +169,10 @@ def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
     parts = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))).alias("size"))
     parts = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
     edges = parts.join(given, "piece", "left").where("id is not null or size = 1").select(
-        "word", F.struct("start", "size", F.coalesce("id", -F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score")).alias("edge"),
+        "word", F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", -F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score")).alias("edge"),
     )
     lattices = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))  # LONGEST_FOLDED * longest edges at most
-    folded = lattices.select("word", fold_path(F.col("edges"), F.length("word")).alias("ids"))
+    folded = lattices.select("word", fold_path(F.col("edges")).alias("ids"))
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {p: (i, s) for p, i, s in pieces.rows}
@@ -160,6 +200,7 @@ def encode(docs: DataFrame, model: str = MODEL, block_bytes: int = BLOCK_BYTES)
     back = units.join(coded, "word").select("block", "unit", "ids", F.lit(None).cast("binary").alias("texts"))
     texts = packed.where("texts is not null").select("block", "unit", F.lit(None).cast("array<int>").alias("ids"), "texts")
     spelled, byte_ids = pieces.spelled, pieces.bytes
+    single = np.array([byte_ids[x] for x in range(128)], dtype=np.int32)
 
     def block(rows: pa.Table) -> pa.Table:
         order = rows.column("unit").combine_chunks()
@@ -168,12 +209,14 @@ def encode(docs: DataFrame, model: str = MODEL, block_bytes: int = BLOCK_BYTES)
         unit = order.filter(known).to_numpy()
         lists = rows.column("ids").combine_chunks().filter(known)
         sizes, flat = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()] if len(lists) else np.zeros(0, np.int32)
-        if (flat < 0).any():  # characters without a piece
+        if (flat < -127).any():  # characters without a piece, of several bytes
             parts = [[byte_ids[x] for x in chr(-i).encode()] if i < 0 else [i] for i in flat.tolist()]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             grown = np.array([len(p) for p in parts])
             sizes = np.bincount(owner, weights=grown, minlength=len(sizes)).astype(np.int64)
             flat = np.array([x for p in parts for x in p], dtype=np.int32)
+        elif (flat < 0).any():
+            flat = np.where(flat < 0, single[np.maximum(-flat, 0) % 128], flat)
         begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         start, size = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
         start[unit], size[unit] = begins, sizes
