@@ -74,8 +74,8 @@ def select_mix(docs: DataFrame, weights: dict | None = None, budget_share: float
 
     The budget is budget_share of all tokens (words). Null lang or source is the value '' of its level; null texts and
     texts without a word have no tokens and are never taken; ids order ties, repeated rows of one id go together, null
-    ids are ordered as ''; further columns pass through, and columns named like the tree's or this step's own are kept
-    apart. An empty table gives no rows.
+    ids are ordered as ''; further columns pass through, but for one named epoch, which is replaced. An empty table
+    gives no rows.
     """
     weights = WEIGHTS if weights is None else weights
     own = docs.withColumn("_mix", F.struct(

@@ -114,16 +114,14 @@ def mcd(rows: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, keep: float = KEEP, cutoff: float = CUTOFF, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """The columns of docs with the statistics, base_failed, d2 and kept.
+    """doc_id, lang, source, the statistics, base_failed, d2 and kept of every row.
 
     base_failed: fewer than 50 words, or more than half of the words repeated. Others are kept unless their distance
     exceeds `cutoff`, scaled so that the `keep` share of the group lies within its chi-square quantile. Groups under
     least_rows are estimated together; if that has too few rows as well, none of it is rejected. Null texts have no
-    words; null languages and sources are groups; repeated rows count each; empty tables give no rows; columns of docs
-    that are named like a result are replaced by it.
+    words; null languages and sources are groups; repeated rows count each; empty tables give no rows; other columns of
+    docs are ignored.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", *FEATURES)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     own = features(text_stats(docs.select("doc_id", "text", "lang", "source"))).drop("text")
     own = stage(own.withColumn("base_failed", failed).withColumn("own", F.struct(F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"))), "quality-stats")
