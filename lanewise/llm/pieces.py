@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with a given piece table, by a relational lattice.
 
-Texts are cut into units where no piece can cross: before each run of spaces and around line feeds. Each task numbers
+Texts are cut into units where no piece can cross: before each run of spaces and before line feeds. Each task numbers
 the distinct units of a block of texts, so that a block's texts become numbers and its units rows. The distinct units
-of all blocks are encoded once: bounded-length substrings are exploded and equi-joined to the piece table, the edges
+of all texts are encoded once: bounded-length substrings are exploded and equi-joined to the piece table, the edges
 are grouped by unit, and Spark's aggregate() folds the best path (the greatest sum of scores; of equal ones the one
 found first in the order of start and length, as the library's unigram search does). The pieces then go back to the
 blocks, and each block writes its texts' ids. A character without a piece becomes its UTF-8 bytes' pieces.
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
+from collections import deque
 from collections.abc import Iterator
 from itertools import islice
 
@@ -29,8 +30,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES, LONGEST_FOLDED = 8 << 20, 40
 #: Fixed values of the format: the sign for a space, and what an unknown character costs below the least score.
 SPACE, UNKNOWN_COST = "▁", 10.0
+#: No piece has this id, so it marks what packed_ids spells out.
+ESCAPE = 0xFFFF
 UNIT = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
-PACKED = "block string, unit int, word string, texts binary"
+PACKED = "block long, unit int, word string, texts binary"
 IDS = "doc_id long, n_pieces int, ids array<int>, decoded_sha256 string"
 
 
@@ -46,8 +49,8 @@ class Pieces:
         self.spelled = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if special(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
         self.longest = max(len(p) for p, _, _ in self.rows)
         self.unknown = min(s for _, _, s in self.rows) - UNKNOWN_COST
-        if any("\n" in p or SPACE in p.lstrip(SPACE) for p, _, _ in self.rows) or len(self.bytes) != 256:
-            raise ValueError("pieces must not cross units, and every byte needs a piece")
+        if any("\n" in p or SPACE in p.lstrip(SPACE) for p, _, _ in self.rows) or len(self.bytes) != 256 or len(self.spelled) > ESCAPE:
+            raise ValueError("pieces must not cross units, every byte needs a piece, and ids must fit two bytes")
 
     def best_path(self, word: str, table: dict[str, tuple[int, float]]) -> list[int]:
         """The same search for one long unit; negative ids are characters without a piece."""
@@ -90,25 +93,49 @@ class Numbers(dict):
         return n
 
 
-def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """PACKED rows by block: each distinct unit with its number, and the texts as numbers (Arrow, compressed).
+def seen_words(docs: DataFrame, most: int = 500_000) -> DataFrame:
+    """column word: the units of each partition's texts, once for every `most` distinct ones."""
 
-    A block is a stretch of an input partition, so that two passes over the same files give the same blocks.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: set[str] = set()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            left = iter(keys)
+            while words := [spelled_unit(k) for k in islice(left, 20_000)]:
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+
+        for b in batches:
+            for text in b.column("text"):
+                keys.update(units_of(text.as_py() or ""))
+                if len(keys) >= most:
+                    yield from flush()
+                    keys.clear()
+        yield from flush()
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string")
+
+
+def pack(docs: DataFrame, block_bytes: int, with_words: bool) -> DataFrame:
+    """PACKED rows by block: each distinct unit with its number (with_words), or the texts as numbers (Arrow, compressed).
+
+    A block is a stretch of an input partition, so that the two passes over the same files give the same blocks.
     """
 
-    def block(name: str, numbers: Numbers, ids: list, offsets: array, flat: array) -> Iterator[pa.RecordBatch]:
+    def block(name: int, numbers: Numbers, ids: list, offsets: array, flat: array) -> Iterator[pa.RecordBatch]:
+        names = ["block", "unit", "word", "texts"]
+        keys = iter(numbers)
+        for at in range(0, len(numbers) if with_words else 0, 20_000):
+            words = [spelled_unit(k) for k in islice(keys, 20_000)]
+            n = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(words, pa.string()), pa.nulls(n, pa.binary())], names)
+        if with_words:
+            return
         sink = pa.BufferOutputStream()
         units = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
         rows = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), units], ["doc_id", "units"])
         with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(rows)
-        names = ["block", "unit", "word", "texts"]
-        keys = iter(numbers)
-        for at in range(0, len(numbers), 20_000):
-            words = [spelled_unit(k) for k in islice(keys, 20_000)]
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(range(at, at + n), pa.int32()), pa.array(words, pa.string()), pa.nulls(n, pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, at, size = None, 0, 0
@@ -118,15 +145,18 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 task = b.column("task")[0].as_py()
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 text = text.as_py() or ""
-                flat.extend(map(numbers.__getitem__, units_of(text)))
-                offsets.append(len(flat))
-                ids.append(doc_id)
+                if with_words:
+                    deque(map(numbers.__getitem__, units_of(text)), 0)
+                else:
+                    flat.extend(map(numbers.__getitem__, units_of(text)))
+                    offsets.append(len(flat))
+                    ids.append(doc_id)
                 size += len(text)
                 if size >= block_bytes:
-                    yield from block(f"{task}-{at}", numbers, ids, offsets, flat)
+                    yield from block(task << 32 | at, numbers, ids, offsets, flat)
                     numbers, ids, offsets, flat, at, size = Numbers(), [], array("i", [0]), array("i"), at + 1, 0
-        if ids:
-            yield from block(f"{task}-{at}", numbers, ids, offsets, flat)
+        if ids or numbers:
+            yield from block(task << 32 | at, numbers, ids, offsets, flat)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("task")).mapInArrow(run, PACKED)
 
@@ -134,30 +164,43 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def fold_path(edges: Column) -> Column:
     """Ids of the best path; edges: array of struct(end, start, id, score), in that order, with one at least to each end.
 
-    The fold keeps the best edge of every end that is behind it and of the one it is at, so an edge costs one look-up.
+    The fold keeps the best edge to every end so far: an edge to a new end is appended, a better one to the last end
+    takes its place.
     """
-    node = lambda score, start, id_: F.struct(score.cast("double").alias("score"), start.cast("int").alias("start"), id_.cast("int").alias("id"))
-    start = F.struct(F.array(node(F.lit(0.0), F.lit(0), F.lit(0))).alias("best"), F.lit(1).alias("end"), node(F.lit(None), F.lit(0), F.lit(0)).alias("now"))
-
-    def step(s: Column, e: Column) -> Column:
-        done = F.struct(F.array_append(s["best"], s["now"]).alias("best"), e["end"].alias("end"), node(F.get(s["best"], e["start"])["score"] + e["score"], e["start"], e["id"]).alias("now"))
-        # The edge of one character to a new end starts where the last one ends, so its start is looked up in both.
-        last = F.struct(F.array_append(s["best"], s["now"]).alias("best"), e["end"].alias("end"), node(s["now"]["score"] + e["score"], e["start"], e["id"]).alias("now"))
-        moved = F.when(e["start"] == s["end"], last).otherwise(done)
-        found = F.get(s["best"], e["start"])["score"] + e["score"]
-        better = s["now"]["score"].isNull() | (found > s["now"]["score"])
-        same = F.when(better, F.struct(s["best"].alias("best"), s["end"].alias("end"), node(found, e["start"], e["id"]).alias("now"))).otherwise(s)
-        return F.when(e["end"] > s["end"], moved).otherwise(same)
-
-    def back(s: Column) -> Column:
-        best = F.array_append(s["best"], s["now"])
-        walk = lambda all_: F.aggregate(
-            all_, F.struct((F.size(all_) - 1).alias("at"), F.array().cast("array<int>").alias("ids")),
-            lambda w, _: F.when(w["at"] > 0, F.struct(F.get(all_, w["at"])["start"].alias("at"), F.array_prepend(w["ids"], F.get(all_, w["at"])["id"]).alias("ids"))).otherwise(w), lambda w: w["ids"],
+    node = lambda score, start, id_: F.struct(score.alias("score"), start.alias("start"), id_.alias("id"))
+    first = F.array(node(F.lit(0.0), F.lit(0), F.lit(0)))
+
+    def step(best: Column, e: Column) -> Column:
+        score = F.get(best, e["start"])["score"] + e["score"]
+        own = node(score, e["start"], e["id"])
+        better = F.concat(F.slice(best, F.lit(1), e["end"]), F.array(own))
+        return F.when(e["end"] == F.size(best), F.array_append(best, own)).when(score > F.get(best, e["end"])["score"], better).otherwise(best)
+
+    def back(best: Column) -> Column:
+        return F.aggregate(
+            best, F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<int>").alias("ids")),
+            lambda w, _: F.when(w["at"] > 0, F.struct(F.get(best, w["at"])["start"].alias("at"), F.array_prepend(w["ids"], F.get(best, w["at"])["id"]).alias("ids"))).otherwise(w), lambda w: w["ids"],
         )
-        return F.transform(F.array(best), walk)[0]
 
-    return F.aggregate(edges, start, step, back)
+    return F.aggregate(edges, first, step, back)
+
+
+def packed_ids(ids: Column) -> Column:
+    """Ids as two bytes each; ESCAPE and four bytes for a character without a piece (a negative id)."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.when(i >= 0, F.lpad(F.hex(i), 4, "0")).otherwise(F.concat(F.lit(f"{ESCAPE:04X}"), F.lpad(F.hex(-i), 8, "0")))), ""))
+
+
+def unpacked_ids(code: bytes, byte_ids: dict[int, int]) -> list[int]:
+    """The ids of packed_ids, with the bytes' pieces for characters without one."""
+    out, at, values = [], 0, np.frombuffer(code, ">u2").tolist()
+    while at < len(values):
+        if values[at] == ESCAPE:
+            out += [byte_ids[x] for x in chr(values[at + 1] << 16 | values[at + 2]).encode()]
+            at += 3
+        else:
+            out.append(values[at])
+            at += 1
+    return out
 
 
 def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -194,35 +237,29 @@ def encode(docs: DataFrame, model: str = MODEL, block_bytes: int = BLOCK_BYTES)
     gives no rows.
     """
     pieces = Pieces(model)
-    packed = pack(docs, block_bytes)
-    units = packed.where("word is not null").select("block", "unit", "word")
-    coded = stage(encode_units(units.select("word").distinct(), pieces), "piece-units")
-    back = units.join(coded, "word").select("block", "unit", "ids", F.lit(None).cast("binary").alias("texts"))
-    texts = packed.where("texts is not null").select("block", "unit", F.lit(None).cast("array<int>").alias("ids"), "texts")
+    units = pack(docs, block_bytes, True).select("block", "unit", "word")
+    coded = stage(encode_units(seen_words(docs).distinct(), pieces).select("word", packed_ids(F.col("ids")).alias("code")), "piece-units")
+    # Written once more, so that the words' shuffle is gone before the blocks'.
+    back = stage(units.join(coded.hint("merge"), "word").select("block", "unit", "code"), "piece-blocks").select("*", F.lit(None).cast("binary").alias("texts"))
+    texts = pack(docs, block_bytes, False).select("block", "unit", F.lit(None).cast("binary").alias("code"), "texts")
     spelled, byte_ids = pieces.spelled, pieces.bytes
-    single = np.array([byte_ids[x] for x in range(128)], dtype=np.int32)
 
     def block(rows: pa.Table) -> pa.Table:
-        order = rows.column("unit").combine_chunks()
-        held = rows.column("texts").combine_chunks().drop_null()
-        known = order.is_valid()
-        unit = order.filter(known).to_numpy()
-        lists = rows.column("ids").combine_chunks().filter(known)
-        sizes, flat = np.diff(lists.offsets.to_numpy()), lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()] if len(lists) else np.zeros(0, np.int32)
-        if (flat < -127).any():  # characters without a piece, of several bytes
-            parts = [[byte_ids[x] for x in chr(-i).encode()] if i < 0 else [i] for i in flat.tolist()]
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            grown = np.array([len(p) for p in parts])
-            sizes = np.bincount(owner, weights=grown, minlength=len(sizes)).astype(np.int64)
-            flat = np.array([x for p in parts for x in p], dtype=np.int32)
-        elif (flat < 0).any():
-            flat = np.where(flat < 0, single[np.maximum(-flat, 0) % 128], flat)
-        begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        start, size = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
-        start[unit], size[unit] = begins, sizes
+        units, codes = rows.column("unit").to_pylist(), rows.column("code").to_pylist()
+        held = rows.column("texts").drop_null().to_pylist()
+        ordered: list[bytes] = [b""] * (len(units) - len(held))
+        for u, c in zip(units, codes, strict=True):
+            if u is not None:
+                ordered[u] = c
+        flat = np.frombuffer(b"".join(ordered), ">u2").astype(np.int32)
+        size = np.array([len(c) >> 1 for c in ordered], dtype=np.int64)
+        if (flat == ESCAPE).any():
+            lists = [unpacked_ids(c, byte_ids) for c in ordered]
+            flat, size = np.array([i for x in lists for i in x], dtype=np.int32), np.array([len(x) for x in lists], dtype=np.int64)
+        start = np.cumsum(size) - size
         out_ids, out_rows, hashes = [], [], []
         for blob in held:
-            for b in pa.ipc.open_stream(blob.as_py()):
+            for b in pa.ipc.open_stream(blob):
                 for doc_id, numbers in zip(b.column("doc_id").to_pylist(), b.column("units"), strict=True):
                     u = numbers.values.to_numpy()
                     n = size[u]
