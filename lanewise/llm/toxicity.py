@@ -75,7 +75,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> np.ndarr
     """Ridge logistic regression by Newton steps; a constant low probability if only one class is there."""
     x = with_one(x)
     w = np.zeros(x.shape[1])
-    if y.min(initial=1) == y.max(initial=0):
+    if not len(y) or y.min() == y.max():
         w[0] = 20.0 if len(y) and y[0] else -20.0
         return w
     penalty = np.full(len(w), ridge)
