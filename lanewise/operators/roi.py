@@ -147,3 +147,15 @@ def decile_audit(df: DataFrame, q: int = 10, tops: Sequence[int] = (1, 2, 3, 5))
 
 def bins_by_condition(report: DataFrame) -> DataFrame:
     return report.groupBy("top_n", "condition").agg(F.count_distinct("label").alias("n_bins"))
+
+
+def top_rows(report: DataFrame, n: int = 10) -> DataFrame:
+    """The n best rows of a condition report."""
+    return report.orderBy(F.desc("roi_net"), F.desc("hit_rate"), "condition", "label", "top_n").limit(n)
+
+
+def decile_ends(audit: DataFrame) -> DataFrame:
+    """For each top_n, hit rate and return of the lowest and the highest decile side by side."""
+    ends = [f(F.struct("hit_rate", "roi_net"), "decile").alias(n) for n, f in (("low", F.min_by), ("high", F.max_by))]
+    rows = audit.groupBy("top_n").agg(*ends)
+    return rows.select("top_n", *(F.col(f"{n}.{c}").alias(f"{n}_{c}") for n in ("low", "high") for c in ("hit_rate", "roi_net")))

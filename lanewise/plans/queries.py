@@ -346,3 +346,14 @@ def race_wind_and_waves(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"with {ENTRANTS}, {RACES}, h as (select ent.*, race_date, venue from ent join races using (race_key)) select race_key, lane, count(*) over w starts, coalesce(sum((rank = 1)::integer) over w, 0)::bigint firsts from h window w as (partition by racer_id, course, venue order by race_date range between unbounded preceding and interval 1 day preceding)")
 def race_course_stats_as_of(spark: SparkSession, sf: str) -> DataFrame:
     return features.course_stats_as_of(flat(spark, sf)).select("race_key", "lane", "starts", F.col("firsts").cast("long").alias("firsts"))
+
+
+@query(ORACLES["race_conditions"].replace(" select condition,", ", rep as (select condition,", 1) + ") select * from rep order by roi_net desc, hit_rate desc, condition, label, top_n limit 10")
+def race_best_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best rows of the condition report."""
+    return roi.top_rows(race_conditions(spark, sf))
+
+
+@query("with a as (" + ORACLES["race_decile_audit"] + ") select top_n, arg_min(hit_rate, decile) low_hit_rate, arg_min(roi_net, decile) low_roi_net, arg_max(hit_rate, decile) high_hit_rate, arg_max(roi_net, decile) high_roi_net from a group by top_n")
+def race_decile_ends(spark: SparkSession, sf: str) -> DataFrame:
+    return roi.decile_ends(race_decile_audit(spark, sf))
