@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import bounded_batches, stage, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text bytes of a block; characters of a unit that is folded in Spark (longer ones by a helper in tasks).
@@ -236,6 +236,7 @@ def encode(docs: DataFrame, model: str = MODEL, block_bytes: int = BLOCK_BYTES)
     Null and empty texts have no pieces; repeated rows are encoded each; other columns are ignored; an empty table
     gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     pieces = Pieces(model)
     units = pack(docs, block_bytes, True).select("block", "unit", "word")
     coded = stage(encode_units(seen_words(docs).distinct(), pieces).select("word", packed_ids(F.col("ids")).alias("code")), "piece-units")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import bounded_batches, stage, table
 from .components import components
 
 BITS, BLOCK, GROUPS, RADIUS = 64, 2, 5, 2
@@ -115,6 +115,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     alone has a null component_id; other columns are ignored; an empty table gives no rows. Equal fingerprints are one
     node, so copies are never expanded into pairs.
     """
+    bounded_batches(docs.sparkSession)
     rows = stage(fingerprints(docs, shingle), "simhash-rows")
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     labels = components(near_links(nodes.select("fp")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 LABELS, FOLDS, SAMPLE_ROWS, MOST_TERMS, PREFIX = ("toxic", "low_quality"), 4, 20_000, 20_000, 5
 #: In the chain's order. severe: toxic, with a share of marker words above the median of toxic rows; junk_abuse: toxic
@@ -181,6 +181,7 @@ def mark_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     Without labelled rows nothing is toxic. Null labels aren't training rows, a null quality isn't low; repeated labels
     of a document count once (toxic if any is); other columns pass through; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     chain = train(docs, labels, sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # at most MOST_TERMS terms
     schema = "struct<" + ",".join(f"p_{c}:double" for c in CATEGORIES) + ">"

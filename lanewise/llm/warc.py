@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, stage, table
+from .common import bounded_batches, shared_path, stage, table
 
 #: Fixed values of the Zstandard format (RFC 8878) and the WARC profile for it.
 DICTIONARY_MAGIC, SKIPPABLE_LOW, SKIPPABLE_HIGH = 0x184D2A5D, 0x184D2A50, 0x184D2A5F
@@ -140,6 +140,7 @@ def write_warc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES)
     writes no record.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     keys = stage(keyed.select("page_id", "digest", F.octet_length("payload").cast("long").alias("n")), "warc-keys")
     total = keys.agg(F.sum("n")).first()[0] or 0
