@@ -93,7 +93,7 @@ class Numbers(dict):
         return n
 
 
-def seen_words(docs: DataFrame, most: int = 500_000) -> DataFrame:
+def seen_words(docs: DataFrame, most: int = 150_000) -> DataFrame:
     """column word: the units of each partition's texts, once for every `most` distinct ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
