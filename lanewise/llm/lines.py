@@ -1,9 +1,14 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines, and by runs of repeated lines across chunk edges.
 
 A text's lines are hashed; a rolling hash over each window of WINDOW line hashes ends a chunk where it is 0 modulo
 DIVISOR, so that boundaries move with the content. Chunks of two lines or more are grouped over all documents by their
 bytes (the 64-bit hash beside them only names them in the joins that follow); of each group with several occurrences
 the first of the document with the least id stays, and all others are removed.
+
+Chunk edges depend on the lines around a passage, so every pair of neighbouring lines, and every line of more than
+PASSAGE_WORDS words alone, is grouped too, by two 64-bit hashes of its own. A run of lines whose pairs all occur in a
+document with a lesser id (or before in the same text) is a repeated passage; one of more than PASSAGE_WORDS words is
+removed whole.
 """
 
 from __future__ import annotations
@@ -11,13 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, stage, table
+from .common import let, stage, table, words_of
 
 WINDOW, DIVISOR = 2, 2
+#: Repeated runs of more words than this go whole, wherever the chunks' edges are.
+PASSAGE_WORDS = 50
+#: What a hash names: a chunk, a pair of neighbouring lines, a line of more than PASSAGE_WORDS words.
+CHUNK, PAIR, LINE = 0, 1, 2
 
 
 def chunks_of(text: Column) -> Column:
-    """All chunks of a text in order: struct(at, lines, hash, body)."""
+    """All chunks of a text in order: struct(at, start, lines, body)."""
 
     def cut(lines: Column) -> Column:
         hashes = F.transform(lines, lambda x: F.xxhash64(x))
@@ -28,7 +37,7 @@ def chunks_of(text: Column) -> Column:
 
     def piece(lines: Column, start: Column, end: Column, k: Column) -> Column:
         body = F.array_join(F.slice(lines, start + 1, end - start), "\n")
-        return F.struct(k.alias("at"), (end - start).alias("lines"), body.alias("body"))
+        return F.struct(k.alias("at"), start.alias("start"), (end - start).alias("lines"), body.alias("body"))
 
     return let(F.split(text, "\n"), cut)
 
@@ -38,6 +47,25 @@ def hashed(text: Column) -> Column:
     return F.transform(F.filter(chunks_of(text), lambda c: c["lines"] > 1), lambda c: F.xxhash64(c["body"]))
 
 
+def is_long(line: Column) -> Column:
+    """Whether a line alone is a passage; only lines with enough characters are split into words."""
+    return (F.length(line) > 2 * PASSAGE_WORDS) & (F.size(words_of(line)) > PASSAGE_WORDS)
+
+
+def units_of(lines: Column) -> Column:
+    """struct(kind, hash, check) of all pairs of neighbouring lines in order, then of the long lines in order."""
+
+    def of(hashes: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(hashes, 1, F.size(hashes) - 1), F.slice(hashes, 2, F.size(hashes) - 1),
+            lambda x, y: F.struct(F.lit(PAIR).alias("kind"), F.xxhash64(x["hash"], y["hash"]).alias("hash"), F.xxhash64(x["check"], y["check"]).alias("check")),
+        )
+        alone = F.transform(F.filter(hashes, lambda x: x["long"]), lambda x: F.struct(F.lit(LINE).alias("kind"), x["hash"].alias("hash"), x["check"].alias("check")))
+        return F.concat(pairs, alone)
+
+    return let(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), F.xxhash64(F.lit("line"), x).alias("check"), is_long(x).alias("long"))), of)
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """hash and keeper of each chunk with several occurrences; `id` is the document's id.
 
@@ -48,8 +76,50 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return groups.groupBy("hash").agg(F.count("*").alias("bodies"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("bodies = 1 and n > 1").select("hash", "keeper")
 
 
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """kind, hash and keeper of each pair or long line with several occurrences; `id` is the document's id.
+
+    Two different units that share one hash but not the other are told apart, and neither is reported.
+    """
+    units = docs.select("id", F.explode(units_of(F.split("text", "\n"))).alias("u")).select("id", "u.*")
+    groups = units.groupBy("kind", "hash", "check").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
+    return groups.groupBy("kind", "hash").agg(F.count("*").alias("checks"), F.max("n").alias("n"), F.min("keeper").alias("keeper")).where("checks = 1 and n > 1").select("kind", "hash", "keeper")
+
+
+def span(start: Column, end: Column) -> Column:
+    """start .. end - 1, empty if end is start."""
+    return F.when(end > start, F.sequence(start, end - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def passages(lines: Column, gone: Column, once: Column, gone_lines: Column, once_lines: Column) -> Column:
+    """Positions of the lines in runs of repeated pairs and long lines that have more than PASSAGE_WORDS words.
+
+    gone: hashes of pairs that an earlier document has; once: of those whose first occurrence is here; likewise
+    gone_lines and once_lines of long lines.
+    """
+
+    def runs(hashes: Column) -> Column:
+        own, pairs = hashes["lines"], hashes["pairs"]
+        last = F.size(lines) - 1
+        again = F.filter(span(F.lit(0), last), lambda i: let(F.get(pairs, i), lambda h: F.array_contains(gone, h) | (F.array_contains(once, h) & (F.array_position(pairs, h) < i))))
+        alone = F.filter(span(F.lit(0), F.size(lines)), lambda i: let(F.get(own, i), lambda h: F.array_contains(gone_lines, h) | (F.array_contains(once_lines, h) & (F.array_position(own, h) <= i))) & is_long(F.get(lines, i)))
+        return let(F.struct(again.alias("again"), alone.alias("alone")), ends)
+
+    def ends(found: Column) -> Column:
+        again = found["again"]
+        starts = F.filter(again, lambda i, k: (k == 0) | (F.get(again, k - 1) < i - 1))
+        stops = F.filter(again, lambda i, k: (k == F.size(again) - 1) | (F.get(again, k + 1) > i + 1))
+        long = F.filter(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: F.size(words_of(F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 2), "\n"))) > PASSAGE_WORDS)
+        return F.concat(F.flatten(F.transform(long, lambda r: F.sequence(r["a"], r["b"] + 1))), found["alone"])
+
+    own = F.transform(lines, lambda x: F.xxhash64(x))
+    pairs = lambda h: F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda x, y: F.xxhash64(x, y))
+    return let(let(own, lambda h: F.struct(h.alias("lines"), pairs(h).alias("pairs"))), runs)
+
+
 def dedupe_lines(docs: DataFrame) -> DataFrame:
-    """The columns of docs with repeated chunks cut out of text, plus n_lines, removed_lines and removed_chunks.
+    """The columns of docs with repeated chunks and passages cut out of text, plus n_lines, removed_lines and
+    removed_chunks (chunks of which no line stays).
 
     Rows with null text pass as they are. What is left of a text keeps its lines' order and may be empty. Rows are
     told apart by doc_id: repeated rows of one id count as one document and keep the same chunks; null ids are one
@@ -59,27 +129,35 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
     docs = docs.drop("n_lines", "removed_lines", "removed_chunks")
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id")
     texts = docs.select(own, "text")
-    twice = stage(repeated_chunks(texts), "line-chunks")
-    places = stage(texts.select("id", F.explode(F.array_distinct(hashed(F.col("text")))).alias("hash")).distinct(), "line-places")
-    cuts = places.join(twice, "hash").groupBy("id").agg(
-        F.collect_list(F.when(F.col("keeper") != F.col("id"), F.col("hash"))).alias("gone"),
-        F.collect_list(F.when(F.col("keeper") == F.col("id"), F.col("hash"))).alias("once"),
+    chunks = repeated_chunks(texts).select(F.lit(CHUNK).alias("kind"), "hash", "keeper")
+    twice = stage(chunks.unionByName(repeated_units(texts)), "line-units")
+    named = F.concat(
+        F.transform(hashed(F.col("text")), lambda h: F.struct(F.lit(CHUNK).alias("kind"), h.alias("hash"))),
+        F.transform(units_of(F.split("text", "\n")), lambda u: F.struct(u["kind"].alias("kind"), u["hash"].alias("hash"))),
     )
-    cuts = stage(cuts, "line-cuts").select(F.col("id").alias("_id"), F.col("gone").alias("_gone"), F.col("once").alias("_once"))
+    places = stage(texts.select("id", F.explode(F.array_distinct(named)).alias("u")).select("id", "u.*").distinct(), "line-places")
+    gone, once = F.col("keeper") != F.col("id"), F.col("keeper") == F.col("id")
+    listed = {f"{name}{kind}": F.collect_list(F.when(which & (F.col("kind") == kind), F.col("hash"))) for kind in (CHUNK, PAIR, LINE) for name, which in (("gone", gone), ("once", once))}
+    cuts = stage(places.join(twice, ["kind", "hash"]).groupBy("id").agg(*(c.alias(n) for n, c in listed.items())), "line-cuts")
+    cuts = cuts.select(F.col("id").alias("_id"), *(F.col(n).alias(f"_{n}") for n in listed))
     joined = docs.join(cuts.hint("merge"), own == F.col("_id"), "left")  # the cuts grow with the corpus
 
-    def keep(chunks: Column) -> Column:
+    def cut(x: Column) -> Column:
+        chunks, lines = x["chunks"], x["lines"]
+
         def of(hashes: Column) -> Column:
-            stays = lambda c, k: (c["lines"] < 2) | ~(F.array_contains(F.col("_gone"), F.get(hashes, k)) | (F.array_contains(F.col("_once"), F.get(hashes, k)) & (F.array_position(hashes, F.get(hashes, k)) <= k)))
-            return let(F.filter(chunks, stays), lambda kept: F.struct(
-                F.array_join(F.transform(kept, lambda c: c["body"]), "\n").alias("text"), lines(chunks).alias("n_lines"), (lines(chunks) - lines(kept)).alias("removed_lines"), (F.size(chunks) - F.size(kept)).cast("long").alias("removed_chunks"),
+            repeated = lambda k: F.array_contains(F.col("_gone0"), F.get(hashes, k)) | (F.array_contains(F.col("_once0"), F.get(hashes, k)) & (F.array_position(hashes, F.get(hashes, k)) <= k))
+            spans = F.transform(chunks, lambda c, k: F.when((c["lines"] > 1) & repeated(k), F.sequence(c["start"], c["start"] + c["lines"] - 1)).otherwise(F.array().cast("array<int>")))
+            drop = F.concat(F.flatten(spans), passages(lines, *(F.col(f"_{name}{kind}") for kind in (PAIR, LINE) for name in ("gone", "once"))))
+            return let(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop), lambda kept: F.struct(
+                F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n").alias("text"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("removed_lines"),
+                F.size(F.filter(chunks, lambda c: ~F.arrays_overlap(F.sequence(c["start"], c["start"] + c["lines"] - 1), kept))).cast("long").alias("removed_chunks"),
             ))
 
         return let(F.transform(chunks, lambda c: F.xxhash64(c["body"])), of)
 
-    lines = lambda cs: F.aggregate(cs, F.lit(0).cast("long"), lambda a, c: a + c["lines"])
     whole = F.struct(F.col("text").alias("text"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("removed_lines"), F.lit(0).cast("long").alias("removed_chunks"))
-    result = F.when(F.col("_id").isNull() | F.col("text").isNull(), whole).otherwise(let(chunks_of(F.col("text")), keep))
+    result = F.when(F.col("_id").isNull() | F.col("text").isNull(), whole).otherwise(let(F.struct(chunks_of(F.col("text")).alias("chunks"), F.split("text", "\n").alias("lines")), cut))
     out = joined.withColumn("_r", result)
     return out.select(*(F.col("_r.text").alias(c) if c == "text" else F.col(c) for c in docs.columns), "_r.n_lines", "_r.removed_lines", "_r.removed_chunks")
 
