@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.llm import lines, mixing, pieces, simhash, toxicity
+from lanewise.llm import lines, mixing, pieces, similar, toxicity
 from lanewise.llm.common import stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,13 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the multi-line chunks that an earlier document has; none is dropped here."""
+    """Documents without the multi-line chunks and passages that an earlier document has; none is dropped here."""
     return columns_of(lines.dedupe_lines(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one with the least id."""
-    groups = stage(simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct(), "near-kept")
+    """One document, the one with the least id, of each component of texts with a similarity of 0.8 or more."""
+    groups = stage(similar.near_texts(docs).where("doc_id <=> component_id").select("doc_id").distinct(), "near-kept")
     kept = docs.join(groups.withColumnRenamed("doc_id", "_kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")))
     return kept.select(*COLUMNS)
 
