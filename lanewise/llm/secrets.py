@@ -1,6 +1,7 @@
 """Secret scans: candidate strings of a text, and a random forest that removes false positives among them.
 
-Candidates are runs of 16 or more key characters with a digit. Features: length, shares of digits, letters and
+Candidates are runs of 16 or more key characters with a digit, and any value that is assigned to a credential's name,
+however short and with or without a digit. Features: length, shares of digits, letters and
 signs, changes of character class and the share of vowels (character transitions), the share of letters in
 runs that are corpus words (dictionary coverage), whether the candidate lies in a path, and the neighbouring words.
 The forest is trained on labelled findings; where no table of them is given, a bounded sample of candidates is labelled
@@ -19,9 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import let, stage, table, words_of
 
-#: The candidates' pattern, and the names and placeholders that label a finding.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z+/_=\-]*[0-9])[A-Za-z0-9+/_\-]{16,}={0,2}"
-CREDENTIAL = r"(?i)(token|secret|password|passwd|pwd|api[_\- ]?key|access[_\- ]?key|auth|bearer|credential)s?[\"']?\s*[=:]?\s*[\"']?$"
+#: The candidates' patterns, and the names and placeholders that label a finding. A value may follow its
+#: name's '=' at once; '=' belongs to a candidate only as padding at its end.
+CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?"
+NAME = r"(?:token|secret|password|passwd|pwd|api[_\- ]?key|access[_\- ]?key|auth|bearer|credential)s?"
+#: A credential's name and its sign, up to the value; and the same with the value, a quoted one up to its closing quote.
+ASSIGNS = rf"(?i:{NAME}[\"']?\s*(?:=>|:=|[=:])\s*(?:bearer\s+)?|bearer\s+)"
+ASSIGNED = ASSIGNS + r"(?:\"[^\"\n]+(?=\")|'[^'\n]+(?=')|[^\s\"'&;,<>]*[^\s\"'&;,<>.:!?)\]}])"
+CREDENTIAL = rf"(?i){NAME}[\"']?\s*(?:=>|:=|[=:])?\s*[\"']?$"
 PLACEHOLDER = r"(?i)example|x{6,}|0{8,}|1234567|changeme|placeholder"
 CONTEXT, TRAIN_ROWS, DICTIONARY_WORDS, TREES, DEPTH, SEED, WORD_BUCKETS = 48, 20_000, 5_000, 20, 6, 7, 8
 THRESHOLD = 0.5
@@ -29,17 +35,29 @@ NUMERIC = ("f_length", "f_digits", "f_lower", "f_upper", "f_signs", "f_hex", "f_
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, at (0-based character), found, before and after (up to CONTEXT characters) of every candidate."""
+    """doc_id, at (0-based character), found, before and after (up to CONTEXT characters) of every candidate.
 
-    def places(found: Column) -> Column:
-        return let(F.split("text", CANDIDATE, -1), lambda between: F.transform(found, lambda x, i: F.struct(
+    A value assigned to a name is left out where a run of key characters holds all of it.
+    """
+
+    def places(pattern: str, found: Column) -> Column:
+        return let(F.split("text", pattern, -1), lambda between: F.transform(found, lambda x, i: F.struct(
             (F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, s: a + F.length(s)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, s: a + F.length(s))).cast("long").alias("at"),
             x.alias("found"), F.right(between[i], F.lit(CONTEXT)).alias("before"), F.left(between[i + 1], F.lit(CONTEXT)).alias("after"),
         )))
 
-    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
-    with_any = docs.where("text is not null").select("doc_id", "text", found.alias("all")).where(F.size("all") > 0)
-    return with_any.select("doc_id", F.explode(let(F.col("all"), places)).alias("c")).select("doc_id", "c.*")
+    def value(c: Column) -> Column:
+        return let(F.regexp_replace(c["found"], rf"^{ASSIGNS}[\"']?", ""), lambda v: F.struct(
+            (c["at"] + F.length(c["found"]) - F.length(v)).alias("at"), v.alias("found"),
+            F.right(F.concat(c["before"], F.left(c["found"], F.length(c["found"]) - F.length(v))), F.lit(CONTEXT)).alias("before"), c["after"].alias("after"),
+        ))
+
+    end = lambda c: c["at"] + F.length(c["found"])
+    both = lambda runs, named: F.concat(runs, F.filter(F.transform(named, value), lambda v: (F.length(v["found"]) > 0) & ~F.exists(runs, lambda r: (r["at"] <= v["at"]) & (end(r) >= end(v)))))
+    found = {"runs": F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), "named": F.regexp_extract_all("text", F.lit(ASSIGNED), F.lit(0))}
+    with_any = docs.where("text is not null").select("doc_id", "text", *(c.alias(n) for n, c in found.items())).where((F.size("runs") > 0) | (F.size("named") > 0))
+    placed = F.struct(let(F.col("runs"), lambda x: places(CANDIDATE, x)).alias("runs"), let(F.col("named"), lambda x: places(ASSIGNED, x)).alias("named"))
+    return with_any.select("doc_id", F.explode(let(placed, lambda p: both(p["runs"], p["named"]))).alias("c")).select("doc_id", "c.*")
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -66,9 +84,9 @@ def features(found: DataFrame, known: DataFrame) -> DataFrame:
         "f_path": one(F.col("before").rlike(r"(://|www\.|/)\S*$") | x.rlike("/.*/")), "f_assigned": one(F.col("before").rlike(r"[=:]\s*[\"']?$")), "f_quoted": one(F.col("before").rlike("[\"']$")),
         **{f"f_word{i}": bucket(left, i) for i in range(WORD_BUCKETS)}, **{f"f_next{i}": bucket(right, i) for i in range(WORD_BUCKETS)},
     })
-    runs = found.select("doc_id", "at", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("found"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("w"))
-    covered = runs.join(F.broadcast(known), "w").groupBy("doc_id", "at").agg(F.sum(F.length("w")).alias("covered"))
-    return plain.join(covered.withColumnRenamed("doc_id", "_d").withColumnRenamed("at", "_a"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("at") == F.col("_a")), "left").withColumn("f_known", F.least(F.lit(1.0), F.coalesce(F.col("covered"), F.lit(0)) / F.greatest(F.length(letters), F.lit(1)))).drop("_d", "_a", "covered")
+    runs = found.select("doc_id", "at", n.alias("length"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("found"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("w"))
+    covered = runs.join(F.broadcast(known), "w").groupBy("doc_id", "at", "length").agg(F.sum(F.length("w")).alias("covered"))
+    return plain.join(covered.withColumnRenamed("doc_id", "_d").withColumnRenamed("at", "_a").withColumnRenamed("length", "_l"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("at") == F.col("_a")) & (n == F.col("_l")), "left").withColumn("f_known", F.least(F.lit(1.0), F.coalesce(F.col("covered"), F.lit(0)) / F.greatest(F.length(letters), F.lit(1)))).drop("_d", "_a", "_l", "covered")
 
 
 def rule_label(found: DataFrame) -> DataFrame:
