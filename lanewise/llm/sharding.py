@@ -2,8 +2,9 @@
 
 Equal texts form a group. A group up to ``1 / (shards * parts)`` of any total is placed with the other small groups
 of its parcel (a hash of the text's digest picks one of ``shards * parts`` parcels), so that the number of items to
-place is bounded however many documents there are; a larger group is an item of its own, and beyond that size it is
-cut by a hash of the id into pieces of about that size, since no whole group of a third of all rows fits a shard.
+place is bounded however many documents there are; a larger group is an item of its own. Only a group of more than
+``1 / (shards * CUT)`` of a total, a stated part of a shard, is cut by a hash of the id, into pieces of about
+``1 / (shards * parts)``, since no whole group of a third of all rows fits a shard; all smaller ones have one shard.
 Items go in descending order of size to the shard whose residual capacity has the highest dot product with the item's
 vector (bytes, tokens, rows, each as a share of its total), among the shards that the item does not overfill.
 """
@@ -18,6 +19,8 @@ from .common import byte_length, stage, table, words_of
 
 #: Parcels of small groups per shard.
 PARTS = 128
+#: Groups of up to 1 / CUT of a shard stay whole.
+CUT = 2
 #: Rows of one numbering block within a shard.
 BLOCK_ROWS = 4096
 
@@ -60,7 +63,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, parts: int = PARTS, block
     total = rows.agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).first()
     most = {c: max((total[c] or 0) // (shards * parts), 1) for c in ("size", "tokens", "rows")}
     group = rows.groupBy("digest").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    pieces = F.greatest(*(F.ceil(F.col(c) / F.lit(most[c])) for c in most)).cast("int")
+    # A group's share of a shard, at most; one row is never cut.
+    whole = F.lit(1) >= F.greatest(*(F.col(c) * (shards * CUT) / F.lit(max(total[c] or 0, 1)) for c in most))
+    pieces = F.when(whole | (F.col("rows") == 1), 1).otherwise(F.greatest(*(F.ceil(F.col(c) / F.lit(most[c])) for c in most))).cast("int")
     # At most 3 * shards * parts groups can exceed a share of 1 / (shards * parts) of one of three totals.
     large = stage(group.where(F.greatest(*((F.col(c) > most[c]).cast("int") for c in most)) == 1).select("digest", pieces.alias("pieces")), "shard-large")
     keyed = rows.join(F.broadcast(large), "digest", "left").withColumn(
