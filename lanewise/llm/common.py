@@ -26,17 +26,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lanewise-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, settings: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: a lineage cut that outlives lost executors.
-    The shuffle files of the written plan go when it has ended, since only the table is read from then on."""
+    The shuffle files of the written plan go when it has ended, since only the table is read from then on. Settings
+    hold for this write only."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", **(settings or {})}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,39 +1,46 @@
 """SentencePiece encoding and decoding with a given piece table, by a relational lattice.
 
-Texts are cut into units where no piece can cross: before each run of spaces and before line feeds. Each task numbers
-the distinct units of a block of texts, so that a block's texts become numbers and its units rows. The distinct units
-of all texts are encoded once: bounded-length substrings are exploded and equi-joined to the piece table, the edges
-are grouped by unit, and Spark's aggregate() folds the best path (the greatest sum of scores; of equal ones the one
-found first in the order of start and length, as the library's unigram search does). The pieces then go back to the
-blocks, and each block writes its texts' ids. A character without a piece becomes its UTF-8 bytes' pieces.
+Texts are cut into units where no piece can cross: before each run of spaces, before line feeds, and between two
+characters that stand side by side in no piece. One pass over the texts numbers the units of each block of texts and
+is written down: a block's texts as numbers, and its distinct units by a hash of the unit. The distinct units of all
+texts are encoded once: bounded-length substrings are exploded and equi-joined to the piece table, the edges are
+grouped by unit, and Spark's aggregate() folds the best path (the greatest sum of scores; of equal ones the one found
+first in the order of start and length, as the library's unigram search does). The pieces then go back to the blocks,
+and each block writes its texts' ids. A character without a piece becomes its UTF-8 bytes' pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from array import array
-from collections import deque
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage, table
+from .common import bounded_batches, byte_length, stage, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Text bytes of a block; characters of a unit that is folded in Spark (longer ones by a helper in tasks).
-BLOCK_BYTES, LONGEST_FOLDED = 8 << 20, 40
+#: Text characters of a block, on average; characters of a unit that is folded in Spark: longer ones, which no rule can
+#: cut, are searched by the same rule in tasks.
+BLOCK_CHARS, LONGEST_FOLDED = 4 << 20, 256
+#: Parts that units are dealt to, at most; beyond as many blocks, a part's blocks are dealt to several groups.
+MOST_PARTS = 1 << 16
+#: Units of a task whose edges are grouped without a sort.
+UNITS_AT_ONCE = 50_000
 #: Fixed values of the format: the sign for a space, and what an unknown character costs below the least score.
 SPACE, UNKNOWN_COST = "▁", 10.0
-#: No piece has this id, so it marks what packed_ids spells out.
-ESCAPE = 0xFFFF
 UNIT = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
-PACKED = "block long, unit int, word string, texts binary"
+#: How an edge is packed into a long: its end, its start, and the piece's id or, from UNKNOWN on, a character's code.
+END, START, UNKNOWN, MASK = 44, 28, 1 << 24, (1 << 28) - 1
+BLOCKS = "block long, grp int, part int, words array<string>, texts binary, keys binary"
+CODED = "block long, part int, ids binary, sizes binary"
 IDS = "doc_id long, n_pieces int, ids array<int>, decoded_sha256 string"
 
 
@@ -49,7 +56,8 @@ class Pieces:
         self.spelled = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if special(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
         self.longest = max(len(p) for p, _, _ in self.rows)
         self.unknown = min(s for _, _, s in self.rows) - UNKNOWN_COST
-        if any("\n" in p or SPACE in p.lstrip(SPACE) for p, _, _ in self.rows) or len(self.bytes) != 256 or len(self.spelled) > ESCAPE:
+        self.neighbours = sorted({p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)})
+        if any("\n" in p or SPACE in p.lstrip(SPACE) for p, _, _ in self.rows) or len(self.bytes) != 256 or len(self.spelled) > 1 << 16:
             raise ValueError("pieces must not cross units, every byte needs a piece, and ids must fit two bytes")
 
     def best_path(self, word: str, table: dict[str, tuple[int, float]]) -> list[int]:
@@ -68,8 +76,8 @@ class Pieces:
         return ids[::-1]
 
 
-def units_of(text: str) -> list[str]:
-    """The keys of a text's units, which begins as if a space stood before it.
+def keys_of(text: str) -> list[str]:
+    """The keys of a text's units before spaces and line feeds; the text begins as if a space stood before it.
 
     A key without a space before it stands for the unit with one (the usual case, found by split()); keys that begin
     with a line feed or a space are the units themselves.
@@ -81,7 +89,7 @@ def units_of(text: str) -> list[str]:
     return [u[1:] if u[0] == " " and " " not in u[1:] else u for u in UNIT.findall(" " + text)]
 
 
-def spelled_unit(key: str) -> str:
+def spelled_key(key: str) -> str:
     return key.replace(" ", SPACE) if key[:1] in (" ", "\n") else SPACE + key
 
 
@@ -93,186 +101,220 @@ class Numbers(dict):
         return n
 
 
-def seen_words(docs: DataFrame, most: int = 150_000) -> DataFrame:
-    """column word: the units of each partition's texts, once for every `most` distinct ones."""
+class Cuts:
+    """Cuts strings between characters that are side by side in no piece."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: set[str] = set()
+    def __init__(self, neighbours: list[str]):
+        chars = sorted({c for pair in neighbours for c in pair})
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.joined[self.kind[[ord(a) for a, _ in neighbours]], self.kind[[ord(b) for _, b in neighbours]]] = True
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            left = iter(keys)
-            while words := [spelled_unit(k) for k in islice(left, 20_000)]:
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], ["word"])
+    def units(self, strings: list[str]) -> tuple[list[str], np.ndarray]:
+        """The units of all strings (none empty) in order, and how many each string has."""
+        whole = "".join(strings)
+        if not whole:
+            return [], np.zeros(0, np.int64)
+        kind = self.kind[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))))
+        cut = np.concatenate(([True], ~self.joined[kind[:-1], kind[1:]]))
+        cut[begin[:-1]] = True
+        at = np.flatnonzero(cut)
+        starts = at.tolist()
+        return [whole[a:b] for a, b in zip(starts, [*starts[1:], len(whole)], strict=True)], np.diff(np.searchsorted(at, begin))
 
-        for b in batches:
-            for text in b.column("text"):
-                keys.update(units_of(text.as_py() or ""))
-                if len(keys) >= most:
-                    yield from flush()
-                    keys.clear()
-        yield from flush()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string")
+def taken(values: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The stretches values[start : start + size] of each number in which, one after the other."""
+    n = size[which]
+    ends = np.cumsum(n)
+    return values[np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(start[which] - (ends - n), n)]
 
 
-def pack(docs: DataFrame, block_bytes: int, with_words: bool) -> DataFrame:
-    """PACKED rows by block: each distinct unit with its number (with_words), or the texts as numbers (Arrow, compressed).
+def written(**columns: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    rows = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
 
-    A block is a stretch of an input partition, so that the two passes over the same files give the same blocks.
-    """
 
-    def block(name: int, numbers: Numbers, ids: list, offsets: array, flat: array) -> Iterator[pa.RecordBatch]:
-        names = ["block", "unit", "word", "texts"]
-        keys = iter(numbers)
-        for at in range(0, len(numbers) if with_words else 0, 20_000):
-            words = [spelled_unit(k) for k in islice(keys, 20_000)]
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(words, pa.string()), pa.nulls(n, pa.binary())], names)
-        if with_words:
-            return
-        sink = pa.BufferOutputStream()
-        units = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
-        rows = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), units], ["doc_id", "units"])
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
+def block_rows(docs: DataFrame, pieces: Pieces, block_chars: int, parts: int, groups: int) -> DataFrame:
+    """BLOCKS: for each block of texts a row of its texts and keys as numbers, and a row of distinct units for each part.
+
+    Units are numbered by part and by their place in the part's row.
+    """
+    neighbours = pieces.neighbours
+
+    def block(name: int, cuts: Cuts, numbers: Numbers, ids: list, offsets: array, flat: array) -> Iterator[pa.RecordBatch]:
+        found, counts = cuts.units([spelled_key(k) for k in numbers])
+        units = Numbers()
+        of = np.fromiter(map(units.__getitem__, found), np.int32, len(found))
+        part = np.fromiter((zlib.crc32(u.encode("utf-8", "surrogatepass")) % parts for u in units), np.int32, len(units))
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        names = list(units)
+        bounds = np.concatenate((np.flatnonzero(np.diff(part[order], prepend=-1)), [len(order)]))
+        words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array([names[i] for i in order.tolist()], pa.string()))
+        own, n = part[order][bounds[:-1]], len(bounds) - 1
+        listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.asarray(ends, np.int32)), pa.array(np.asarray(values, np.int32)))
+        texts = written(doc_id=pa.array(ids, pa.int64()), keys=listed(offsets, flat))
+        keys = written(units=listed(np.concatenate(([0], np.cumsum(counts))), rank[of]))
+        same = lambda value, k, kind: pa.array([value] * k, kind)
+        grp, schema = hash(name) % groups, [c.split(" ")[0] for c in BLOCKS.split(", ")]
+        yield pa.RecordBatch.from_arrays([same(name, 1, pa.int64()), same(grp, 1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string())), pa.array([texts], pa.binary()), pa.array([keys], pa.binary())], schema)
+        for at in range(0, n, 1000):
+            k = min(1000, n - at)
+            yield pa.RecordBatch.from_arrays([same(name, k, pa.int64()), same(grp, k, pa.int32()), pa.array(own[at : at + k], pa.int32()), words.slice(at, k), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, at, size = None, 0, 0
+        cuts, task, at, size = Cuts(neighbours), None, 0, 0
         numbers, ids, offsets, flat = Numbers(), [], array("i", [0]), array("i")
         for b in batches:
             if b.num_rows:
                 task = b.column("task")[0].as_py()
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 text = text.as_py() or ""
-                if with_words:
-                    deque(map(numbers.__getitem__, units_of(text)), 0)
-                else:
-                    flat.extend(map(numbers.__getitem__, units_of(text)))
-                    offsets.append(len(flat))
-                    ids.append(doc_id)
+                flat.extend(map(numbers.__getitem__, keys_of(text)))
+                offsets.append(len(flat))
+                ids.append(doc_id)
                 size += len(text)
-                if size >= block_bytes:
-                    yield from block(task << 32 | at, numbers, ids, offsets, flat)
+                if size >= block_chars:
+                    yield from block(task << 32 | at, cuts, numbers, ids, offsets, flat)
                     numbers, ids, offsets, flat, at, size = Numbers(), [], array("i", [0]), array("i"), at + 1, 0
-        if ids or numbers:
-            yield from block(task << 32 | at, numbers, ids, offsets, flat)
+        if ids:
+            yield from block(task << 32 | at, cuts, numbers, ids, offsets, flat)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("task")).mapInArrow(run, PACKED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("task")).mapInArrow(run, BLOCKS)
 
 
-def fold_path(edges: Column) -> Column:
-    """Ids of the best path; edges: array of struct(end, start, id, score), in that order, with one at least to each end.
+def fold_path(edges: Column, scores: Column, unknown: float) -> Column:
+    """Ids of the best path (a character without a piece: its negative code); edges: packed, in order, one at least to
+    each end.
 
     The fold keeps the best edge to every end so far: an edge to a new end is appended, a better one to the last end
     takes its place.
     """
-    node = lambda score, start, id_: F.struct(score.alias("score"), start.alias("start"), id_.alias("id"))
-    first = F.array(node(F.lit(0.0), F.lit(0), F.lit(0)))
+    node = lambda score, edge: F.struct(score.alias("score"), edge.alias("edge"))
+    start_of = lambda e: F.shiftright(e, START).bitwiseAND(F.lit((1 << END - START) - 1)).cast("int")
+    id_of = lambda e: e.bitwiseAND(F.lit(MASK)).cast("int")
 
     def step(best: Column, e: Column) -> Column:
-        score = F.get(best, e["start"])["score"] + e["score"]
-        own = node(score, e["start"], e["id"])
-        better = F.concat(F.slice(best, F.lit(1), e["end"]), F.array(own))
-        return F.when(e["end"] == F.size(best), F.array_append(best, own)).when(score > F.get(best, e["end"])["score"], better).otherwise(best)
+        end = F.shiftright(e, END).cast("int")
+        score = F.get(best, start_of(e))["score"] + F.coalesce(F.get(scores, id_of(e)), F.lit(unknown))
+        better = F.concat(F.slice(best, F.lit(1), end), F.array(node(score, e)))
+        return F.when(end == F.size(best), F.array_append(best, node(score, e))).when(score > F.get(best, end)["score"], better).otherwise(best)
 
     def back(best: Column) -> Column:
         return F.aggregate(
             best, F.struct((F.size(best) - 1).alias("at"), F.array().cast("array<int>").alias("ids")),
-            lambda w, _: F.when(w["at"] > 0, F.struct(F.get(best, w["at"])["start"].alias("at"), F.array_prepend(w["ids"], F.get(best, w["at"])["id"]).alias("ids"))).otherwise(w), lambda w: w["ids"],
+            lambda w, _: F.when(w["at"] > 0, let_edge(F.get(best, w["at"])["edge"], w["ids"])).otherwise(w), lambda w: w["ids"],
         )
 
-    return F.aggregate(edges, first, step, back)
-
+    def let_edge(e: Column, ids: Column) -> Column:
+        piece = F.when(id_of(e) < UNKNOWN, id_of(e)).otherwise(F.lit(UNKNOWN) - id_of(e))
+        return F.struct(start_of(e).alias("at"), F.array_prepend(ids, piece).alias("ids"))
 
-def packed_ids(ids: Column) -> Column:
-    """Ids as two bytes each; ESCAPE and four bytes for a character without a piece (a negative id)."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.when(i >= 0, F.lpad(F.hex(i), 4, "0")).otherwise(F.concat(F.lit(f"{ESCAPE:04X}"), F.lpad(F.hex(-i), 8, "0")))), ""))
+    return F.aggregate(edges, F.array(node(F.lit(0.0), F.lit(0).cast("long"))), step, back)
 
 
-def unpacked_ids(code: bytes, byte_ids: dict[int, int]) -> list[int]:
-    """The ids of packed_ids, with the bytes' pieces for characters without one."""
-    out, at, values = [], 0, np.frombuffer(code, ">u2").tolist()
-    while at < len(values):
-        if values[at] == ESCAPE:
-            out += [byte_ids[x] for x in chr(values[at + 1] << 16 | values[at + 2]).encode()]
-            at += 3
-        else:
-            out.append(values[at])
-            at += 1
-    return out
-
-
-def encode_units(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word and ids of each distinct unit in column word."""
-    spark = words.sparkSession
-    given = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))  # the model's fixed size
+def encode_units(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, word and ids of each distinct (keys, word); words are dealt by keys, if there are any."""
+    spark, by = words.sparkSession, [*keys, "word"]
+    # Of the model's fixed size. Pieces are met by a hash, which is a number, and then compared.
+    given = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double").select(F.xxhash64("piece").alias("hash"), "piece", "id"))
+    scores = [0.0] * (max(i for _, i, _ in pieces.rows) + 1)
+    for _, i, s in pieces.rows:
+        scores[i] = s
     short = words.where(F.length("word") <= LONGEST_FOLDED)
-    starts = short.select("word", F.length("word").alias("n")).select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    parts = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))).alias("size"))
-    parts = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("size")))
-    edges = parts.join(given, "piece", "left").where("id is not null or size = 1").select(
-        "word", F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", -F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score")).alias("edge"),
-    )
-    lattices = edges.groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))  # LONGEST_FOLDED * longest edges at most
-    folded = lattices.select("word", fold_path(F.col("edges")).alias("ids"))
+    starts = short.select(*by, F.length("word").alias("n")).select(*by, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    parts = starts.select(*by, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))).alias("size"))
+    parts = parts.withColumn("part_of", F.substring("word", F.col("start") + 1, F.col("size"))).withColumn("h", F.xxhash64("part_of"))
+    met = parts.join(given, (F.col("h") == F.col("hash")) & (F.col("part_of") == F.col("piece")), "left").where("id is not null or size = 1")
+    edge = F.shiftleft((F.col("start") + F.col("size")).cast("long"), END) + F.shiftleft(F.col("start").cast("long"), START) + F.coalesce("id", F.ascii("part_of") + UNKNOWN)
+    lattices = met.select(*by, edge.alias("edge")).groupBy(*by).agg(F.sort_array(F.collect_list("edge")).alias("edges"))  # LONGEST_FOLDED * longest edges at most
+    folded = lattices.select(*by, fold_path(F.col("edges"), F.split(F.lit(" ".join(map(repr, scores))), " ").cast("array<double>"), pieces.unknown).alias("ids"))
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {p: (i, s) for p, i, s in pieces.rows}
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array([pieces.best_path(w.as_py(), table) for w in b.column("word")], pa.list_(pa.int32()))], ["word", "ids"])
+            paths = [pieces.best_path(w.as_py(), table) for w in b.column("word")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), pa.array(paths, pa.list_(pa.int32()))], [*by, "ids"])
+
+    kinds = dict(words.dtypes)
+    long_ones = words.where(F.length("word") > LONGEST_FOLDED).select(*by).mapInArrow(long, ", ".join(f"{c} {kinds[c]}" for c in by) + ", ids array<int>")
+    return folded.unionByName(long_ones)
 
-    return folded.unionByName(words.where(F.length("word") > LONGEST_FOLDED).mapInArrow(long, "word string, ids array<int>"))
 
+def spelled_out(ids: pa.ChunkedArray, byte_ids: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after the other, with the bytes' pieces for characters without one, and the number of each list's."""
+    flat, size = ids.combine_chunks().flatten().to_numpy(), ids.combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    if not len(flat) or flat.min() >= 0:
+        return flat.astype(np.uint16), size
+    lists = [[x for i in own for x in ([i] if i >= 0 else [byte_ids[c] for c in chr(-i).encode("utf-8", "surrogatepass")])] for own in ids.to_pylist()]
+    return np.array([x for own in lists for x in own], np.uint16), np.array([len(own) for own in lists], np.int64)
 
-def decode_ids(ids: np.ndarray, spelled: list[bytes]) -> str:
+
+def decode_ids(ids: list[int] | np.ndarray, spelled: list[bytes]) -> str:
     """The text of an encoding: its pieces without the space that every text begins with."""
-    return b"".join([spelled[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+    return b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, model: str = MODEL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_pieces, ids and decoded_sha256 (of the text decoded from ids) of every row.
 
     Null and empty texts have no pieces; repeated rows are encoded each; other columns are ignored; an empty table
-    gives no rows.
+    gives no rows. A text may have any length: it lies in one block, of its own if it is longer than a block.
     """
     bounded_batches(docs.sparkSession)
     pieces = Pieces(model)
-    units = pack(docs, block_bytes, True).select("block", "unit", "word")
-    coded = stage(encode_units(seen_words(docs).distinct(), pieces).select("word", packed_ids(F.col("ids")).alias("code")), "piece-units")
-    # Written once more, so that the words' shuffle is gone before the blocks'.
-    back = stage(units.join(coded.hint("merge"), "word").select("block", "unit", "code"), "piece-blocks").select("*", F.lit(None).cast("binary").alias("texts"))
-    texts = pack(docs, block_bytes, False).select("block", "unit", F.lit(None).cast("binary").alias("code"), "texts")
+    size = docs.agg(F.coalesce(F.sum(byte_length(F.col("text"))), F.lit(0))).first()[0]
+    blocks = size // block_chars + 1
+    parts, groups = min(MOST_PARTS, blocks), -(-blocks // MOST_PARTS)
+    rows = stage(block_rows(docs, pieces, block_chars, parts, groups), "piece-blocks")
+    units = rows.where("part is not null").select("block", "grp", "part", "words")
+    dealt = units.select("part", "words").repartition(parts, "part")
+    words = dealt.select("part", F.explode("words").alias("word")).distinct()
+    coded = stage(encode_units(words, pieces, ("part",)), "piece-units", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(UNITS_AT_ONCE)})
+    coded = coded.select("part", "word", "ids", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
     spelled, byte_ids = pieces.spelled, pieces.bytes
 
+    def look_up(own: pa.Table, coded: pa.Table) -> pa.Table:
+        flat, n = spelled_out(coded.column("ids"), byte_ids)
+        number = {w: i for i, w in enumerate(coded.column("word").to_pylist())}
+        out = []
+        for words in own.column("words"):
+            which = np.fromiter(map(number.__getitem__, words.as_py()), np.int64, len(words))
+            out.append((taken(flat, np.cumsum(n) - n, n, which).tobytes(), n[which].astype(np.int32).tobytes()))
+        return pa.table([own.column("block"), own.column("part"), pa.array([i for i, _ in out], pa.binary()), pa.array([k for _, k in out], pa.binary())], names=["block", "part", "ids", "sizes"])
+
+    back = units.groupBy("grp", "part").cogroup(coded.groupBy("grp", "part")).applyInArrow(look_up, CODED)
+    texts = rows.where("part is null").select("block", "texts", "keys")
+
     def block(rows: pa.Table) -> pa.Table:
-        units, codes = rows.column("unit").to_pylist(), rows.column("code").to_pylist()
-        held = rows.column("texts").drop_null().to_pylist()
-        ordered: list[bytes] = [b""] * (len(units) - len(held))
-        for u, c in zip(units, codes, strict=True):
-            if u is not None:
-                ordered[u] = c
-        flat = np.frombuffer(b"".join(ordered), ">u2").astype(np.int32)
-        size = np.array([len(c) >> 1 for c in ordered], dtype=np.int64)
-        if (flat == ESCAPE).any():
-            lists = [unpacked_ids(c, byte_ids) for c in ordered]
-            flat, size = np.array([i for x in lists for i in x], dtype=np.int32), np.array([len(x) for x in lists], dtype=np.int64)
-        start = np.cumsum(size) - size
-        out_ids, out_rows, hashes = [], [], []
-        for blob in held:
-            for b in pa.ipc.open_stream(blob):
-                for doc_id, numbers in zip(b.column("doc_id").to_pylist(), b.column("units"), strict=True):
-                    u = numbers.values.to_numpy()
-                    n = size[u]
-                    ends = np.cumsum(n)
-                    total = int(ends[-1]) if len(n) else 0
-                    ids = flat[np.arange(total) + np.repeat(start[u] - (ends - n), n)]
-                    out_ids.append(doc_id)
-                    out_rows.append(ids)
-                    hashes.append(hashlib.sha256(decode_ids(ids, spelled).encode()).hexdigest())
-        return pa.table([pa.array(out_ids, pa.int64()), pa.array([len(x) for x in out_rows], pa.int32()), pa.array(out_rows, pa.list_(pa.int32())), pa.array(hashes, pa.string())], names=[x.split(" ")[0] for x in IDS.split(", ")])
-
-    return back.unionByName(texts).groupBy("block").applyInArrow(block, IDS)
+        kept = rows.filter(pc.is_valid(rows.column("ids"))).sort_by("part")
+        flat, n = (np.frombuffer(b"".join(kept.column(c).to_pylist()), kind) for c, kind in (("ids", np.uint16), ("sizes", np.int32)))
+        n = n.astype(np.int64)
+        own = rows.filter(pc.is_valid(rows.column("texts")))
+        read = lambda c: pa.ipc.open_stream(own.column(c)[0].as_py()).read_all()
+        lists = lambda t, c: (t.column(c).combine_chunks().flatten().to_numpy(), t.column(c).combine_chunks().value_lengths().to_numpy().astype(np.int64))
+        units, n_units = lists(read("keys"), "units")
+        texts = read("texts")
+        keys, n_keys = lists(texts, "keys")
+        # Pieces of each key, then of all texts.
+        per_key = np.add.reduceat(np.append(n[units], 0), np.cumsum(n_units) - n_units) if len(n_units) else np.zeros(0, np.int64)
+        key_ids = taken(flat, np.cumsum(n) - n, n, units)
+        ids = taken(key_ids, np.cumsum(per_key) - per_key, per_key, keys)
+        ends = np.concatenate(([0], np.cumsum(per_key[keys])))[np.concatenate(([0], np.cumsum(n_keys)))]
+        decoded = pa.array(spelled, pa.binary()).take(pa.array(ids))
+        at, data = np.frombuffer(decoded.buffers()[1], np.int32)[: len(ids) + 1], memoryview(decoded.buffers()[2] or b"")
+        hashes = [hashlib.sha256(data[a + 1 : b]).hexdigest() for a, b in zip(at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True)]
+        return pa.table([texts.column("doc_id"), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array(hashes, pa.string())], names=[x.split(" ")[0] for x in IDS.split(", ")])
+
+    every = back.unionByName(texts, allowMissingColumns=True).select("block", "part", "ids", "sizes", "texts", "keys")
+    return every.groupBy("block").applyInArrow(block, IDS)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

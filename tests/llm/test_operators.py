@@ -126,7 +126,7 @@ def test_fingerprints_odd(spark, odd, none):
 def test_pieces(spark, odd, none):
     table_ = pieces.Pieces()
     found = {p: (i, s) for p, i, s in table_.rows}
-    rows = pieces.encode(odd, block_bytes=1000).collect()
+    rows = pieces.encode(odd, block_chars=1000).collect()
     assert len(rows) == odd.count()
     texts = defaultdict(set)
     for r in odd.collect():
@@ -134,8 +134,8 @@ def test_pieces(spark, odd, none):
     for r in rows:
         (t,) = texts[r.doc_id]
         want = []
-        for u in pieces.units_of(t):
-            for i in table_.best_path(pieces.spelled_unit(u), found):
+        for u in pieces.keys_of(t):  # whole, not cut between characters
+            for i in table_.best_path(pieces.spelled_key(u), found):
                 want += [i] if i >= 0 else [table_.bytes[x] for x in chr(-i).encode()]
         assert r.ids == want and r.n_pieces == len(want) and r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
     assert pieces.encode(none).count() == 0
