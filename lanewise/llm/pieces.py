@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding with a given piece table, by a relational lattice.
 
 Texts are cut into units where no piece can cross: before each run of spaces, before line feeds, and between two
-characters that stand side by side in no piece. One pass over the texts numbers the units of each block of texts and
-is written down: a block's texts as numbers, and its distinct units by a hash of the unit. The distinct units of all
-texts are encoded once: bounded-length substrings are exploded and equi-joined to the piece table, the edges are
+characters that stand side by side in no piece. A first pass over the texts writes the distinct units of each block of
+texts, dealt to parts by a hash of the unit. The distinct units of all texts are encoded once: bounded-length substrings are exploded and equi-joined to the piece table, the edges are
 grouped by unit, and Spark's aggregate() folds the best path (the greatest sum of scores; of equal ones the one found
 first in the order of start and length, as the library's unigram search does). The pieces then go back to the blocks,
-and each block writes its texts' ids. A character without a piece becomes its UTF-8 bytes' pieces.
+which a second pass gives as numbers, and each block writes its texts' ids. A character without a piece becomes its
+UTF-8 bytes' pieces.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import hashlib
 import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,8 @@ SPACE, UNKNOWN_COST = "▁", 10.0
 UNIT = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 #: How an edge is packed into a long: its end, its start, and the piece's id or, from UNKNOWN on, a character's code.
 END, START, UNKNOWN, MASK = 44, 28, 1 << 24, (1 << 28) - 1
-BLOCKS = "block long, grp int, part int, words array<string>, texts binary, keys binary"
+WORDS = "block long, grp int, part int, words string"
+TEXTS = "block long, docs binary, numbers binary, names binary"
 CODED = "block long, part int, ids binary, sizes binary"
 IDS = "doc_id long, n_pieces int, ids array<int>, decoded_sha256 string"
 
@@ -132,62 +134,90 @@ def taken(values: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.nda
     return values[np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(start[which] - (ends - n), n)]
 
 
-def written(**columns: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    rows = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(rows)
-    return sink.getvalue().to_pybytes()
+def compressed(numbers: np.ndarray) -> bytes:
+    """Numbers as four planes of bytes, so that the usual small ones leave little."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
-def block_rows(docs: DataFrame, pieces: Pieces, block_chars: int, parts: int, groups: int) -> DataFrame:
-    """BLOCKS: for each block of texts a row of its texts and keys as numbers, and a row of distinct units for each part.
+def decompressed(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").reshape(n).astype(np.int64)
 
-    Units are numbered by part and by their place in the part's row.
+
+def names_of(schema: str) -> list[str]:
+    return [c.split(" ")[0] for c in schema.split(", ")]
+
+
+def decoded_form(text: str) -> bytes:
+    """What the decoded ids of a text spell: the sign for a space stands for one."""
+    return text.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+
+
+def blocks(docs: DataFrame, pieces: Pieces, block_chars: int, parts: int, groups: int, with_words: bool) -> DataFrame:
+    """For each block of texts its distinct units by part (WORDS), or its texts as numbers of units (TEXTS).
+
+    Units are numbered by part and by their place in the part's row. A block is a stretch of an input partition, so
+    both passes over the same files give the same blocks; encode() compares each decoded text with the one that was
+    read, so that an input that changes between the passes ends in an error.
     """
     neighbours = pieces.neighbours
 
-    def block(name: int, cuts: Cuts, numbers: Numbers, ids: list, offsets: array, flat: array) -> Iterator[pa.RecordBatch]:
+    def words(name: int, own: list[str], part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        ends, n = [*at[1:].tolist(), len(own)], len(at)
+        joined = [" ".join(own[a:b]) for a, b in zip(at.tolist(), ends, strict=True)]  # no unit has a space
+        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array([hash(name) % groups] * n, pa.int32()), pa.array(part[at], pa.int32()), pa.array(joined, pa.string())], names_of(WORDS))
+
+    def texts(name: int, numbers: np.ndarray, sizes: np.ndarray, n_units: int, ids: list, hashes: list) -> Iterator[pa.RecordBatch]:
+        # The commonest units get the least numbers.
+        names = np.argsort(-np.bincount(numbers, minlength=n_units), kind="stable")
+        small = np.empty(n_units, np.int64)
+        small[names] = np.arange(n_units)
+        sink = pa.BufferOutputStream()
+        rows = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary())], ["doc_id", "n", "sha"])
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), compressed(small[numbers]), compressed(names)))], names_of(TEXTS))
+
+    def block(name: int, cuts: Cuts, numbers: Numbers, flat: array, offsets: array, ids: list, hashes: list) -> Iterator[pa.RecordBatch]:
         found, counts = cuts.units([spelled_key(k) for k in numbers])
         units = Numbers()
-        of = np.fromiter(map(units.__getitem__, found), np.int32, len(found))
-        part = np.fromiter((zlib.crc32(u.encode("utf-8", "surrogatepass")) % parts for u in units), np.int32, len(units))
+        of = np.fromiter(map(units.__getitem__, found), np.int64, len(found))
+        part = np.fromiter((zlib.crc32(u.encode("utf-8", "surrogatepass")) % parts for u in units), np.int64, len(units))
         order = np.argsort(part, kind="stable")
-        rank = np.empty(len(order), np.int32)
-        rank[order] = np.arange(len(order), dtype=np.int32)
-        names = list(units)
-        bounds = np.concatenate((np.flatnonzero(np.diff(part[order], prepend=-1)), [len(order)]))
-        words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array([names[i] for i in order.tolist()], pa.string()))
-        own, n = part[order][bounds[:-1]], len(bounds) - 1
-        listed = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.asarray(ends, np.int32)), pa.array(np.asarray(values, np.int32)))
-        texts = written(doc_id=pa.array(ids, pa.int64()), keys=listed(offsets, flat))
-        keys = written(units=listed(np.concatenate(([0], np.cumsum(counts))), rank[of]))
-        same = lambda value, k, kind: pa.array([value] * k, kind)
-        grp, schema = hash(name) % groups, [c.split(" ")[0] for c in BLOCKS.split(", ")]
-        yield pa.RecordBatch.from_arrays([same(name, 1, pa.int64()), same(grp, 1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string())), pa.array([texts], pa.binary()), pa.array([keys], pa.binary())], schema)
-        for at in range(0, n, 1000):
-            k = min(1000, n - at)
-            yield pa.RecordBatch.from_arrays([same(name, k, pa.int64()), same(grp, k, pa.int32()), pa.array(own[at : at + k], pa.int32()), words.slice(at, k), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], schema)
+        if with_words:
+            own = list(units)
+            yield from words(name, [own[i] for i in order.tolist()], part[order])
+        else:
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            keys = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+            before = np.concatenate(([0], np.cumsum(counts[keys])))[np.frombuffer(offsets, np.int32)]
+            yield from texts(name, taken(rank[of], np.cumsum(counts) - counts, counts, keys), np.diff(before), len(order), ids, hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, task, at, size = Cuts(neighbours), None, 0, 0
-        numbers, ids, offsets, flat = Numbers(), [], array("i", [0]), array("i")
+        numbers, flat, offsets, ids, hashes = Numbers(), array("i"), array("i", [0]), [], []
         for b in batches:
             if b.num_rows:
                 task = b.column("task")[0].as_py()
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 text = text.as_py() or ""
-                flat.extend(map(numbers.__getitem__, keys_of(text)))
-                offsets.append(len(flat))
+                if with_words:
+                    deque(map(numbers.__getitem__, keys_of(text)), 0)
+                else:
+                    flat.extend(map(numbers.__getitem__, keys_of(text)))
+                    offsets.append(len(flat))
+                    hashes.append(hashlib.sha256(decoded_form(text)).digest())
                 ids.append(doc_id)
                 size += len(text)
                 if size >= block_chars:
-                    yield from block(task << 32 | at, cuts, numbers, ids, offsets, flat)
-                    numbers, ids, offsets, flat, at, size = Numbers(), [], array("i", [0]), array("i"), at + 1, 0
+                    yield from block(task << 32 | at, cuts, numbers, flat, offsets, ids, hashes)
+                    numbers, flat, offsets, ids, hashes, at, size = Numbers(), array("i"), array("i", [0]), [], [], at + 1, 0
         if ids:
-            yield from block(task << 32 | at, cuts, numbers, ids, offsets, flat)
+            yield from block(task << 32 | at, cuts, numbers, flat, offsets, ids, hashes)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("task")).mapInArrow(run, BLOCKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("task")).mapInArrow(run, WORDS if with_words else TEXTS)
 
 
 def fold_path(edges: Column, scores: Column, unknown: float) -> Column:
@@ -220,16 +250,18 @@ def fold_path(edges: Column, scores: Column, unknown: float) -> Column:
     return F.aggregate(edges, F.array(node(F.lit(0.0), F.lit(0).cast("long"))), step, back)
 
 
-def encode_units(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, word and ids of each distinct (keys, word); words are dealt by keys, if there are any."""
+def encode_units(words: DataFrame, long_words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, word and ids of each distinct (keys, word); words are dealt by keys, if there are any.
+
+    long_words are those of more than LONGEST_FOLDED characters, words the others.
+    """
     spark, by = words.sparkSession, [*keys, "word"]
     # Of the model's fixed size. Pieces are met by a hash, which is a number, and then compared.
     given = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double").select(F.xxhash64("piece").alias("hash"), "piece", "id"))
     scores = [0.0] * (max(i for _, i, _ in pieces.rows) + 1)
     for _, i, s in pieces.rows:
         scores[i] = s
-    short = words.where(F.length("word") <= LONGEST_FOLDED)
-    starts = short.select(*by, F.length("word").alias("n")).select(*by, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    starts = words.select(*by, F.length("word").alias("n")).select(*by, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     parts = starts.select(*by, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))).alias("size"))
     parts = parts.withColumn("part_of", F.substring("word", F.col("start") + 1, F.col("size"))).withColumn("h", F.xxhash64("part_of"))
     met = parts.join(given, (F.col("h") == F.col("hash")) & (F.col("part_of") == F.col("piece")), "left").where("id is not null or size = 1")
@@ -244,7 +276,7 @@ def encode_units(words: DataFrame, pieces: Pieces, keys: tuple[str, ...] = ()) -
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), pa.array(paths, pa.list_(pa.int32()))], [*by, "ids"])
 
     kinds = dict(words.dtypes)
-    long_ones = words.where(F.length("word") > LONGEST_FOLDED).select(*by).mapInArrow(long, ", ".join(f"{c} {kinds[c]}" for c in by) + ", ids array<int>")
+    long_ones = long_words.select(*by).mapInArrow(long, ", ".join(f"{c} {kinds[c]}" for c in by) + ", ids array<int>")
     return folded.unionByName(long_ones)
 
 
@@ -271,13 +303,13 @@ def encode(docs: DataFrame, model: str = MODEL, block_chars: int = BLOCK_CHARS)
     bounded_batches(docs.sparkSession)
     pieces = Pieces(model)
     size = docs.agg(F.coalesce(F.sum(byte_length(F.col("text"))), F.lit(0))).first()[0]
-    blocks = size // block_chars + 1
-    parts, groups = min(MOST_PARTS, blocks), -(-blocks // MOST_PARTS)
-    rows = stage(block_rows(docs, pieces, block_chars, parts, groups), "piece-blocks")
-    units = rows.where("part is not null").select("block", "grp", "part", "words")
-    dealt = units.select("part", "words").repartition(parts, "part")
-    words = dealt.select("part", F.explode("words").alias("word")).distinct()
-    coded = stage(encode_units(words, pieces, ("part",)), "piece-units", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(UNITS_AT_ONCE)})
+    n = size // block_chars + 1
+    parts, groups = min(MOST_PARTS, n), -(-n // MOST_PARTS)
+    units = stage(blocks(docs, pieces, block_chars, parts, groups, True), "piece-words")
+    each = lambda rows, long: rows.select("part", F.explode(F.split("words", " ")).alias("word")).where((F.length("word") > LONGEST_FOLDED) == F.lit(long)).distinct()
+    short = each(units.select("part", "words").repartition(parts, "part"), False)
+    long_words = each(units.where(F.col("words").rlike(f"[^ ]{{{LONGEST_FOLDED + 1}}}")), True)
+    coded = stage(encode_units(short, long_words, pieces, ("part",)), "piece-units", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(UNITS_AT_ONCE)})
     coded = coded.select("part", "word", "ids", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
     spelled, byte_ids = pieces.spelled, pieces.bytes
 
@@ -286,35 +318,32 @@ def encode(docs: DataFrame, model: str = MODEL, block_chars: int = BLOCK_CHARS)
         number = {w: i for i, w in enumerate(coded.column("word").to_pylist())}
         out = []
         for words in own.column("words"):
-            which = np.fromiter(map(number.__getitem__, words.as_py()), np.int64, len(words))
+            which = np.array([number[w] for w in words.as_py().split(" ")], np.int64)
             out.append((taken(flat, np.cumsum(n) - n, n, which).tobytes(), n[which].astype(np.int32).tobytes()))
         return pa.table([own.column("block"), own.column("part"), pa.array([i for i, _ in out], pa.binary()), pa.array([k for _, k in out], pa.binary())], names=["block", "part", "ids", "sizes"])
 
     back = units.groupBy("grp", "part").cogroup(coded.groupBy("grp", "part")).applyInArrow(look_up, CODED)
-    texts = rows.where("part is null").select("block", "texts", "keys")
+    texts = blocks(docs, pieces, block_chars, parts, groups, False)
 
     def block(rows: pa.Table) -> pa.Table:
         kept = rows.filter(pc.is_valid(rows.column("ids"))).sort_by("part")
         flat, n = (np.frombuffer(b"".join(kept.column(c).to_pylist()), kind) for c, kind in (("ids", np.uint16), ("sizes", np.int32)))
         n = n.astype(np.int64)
-        own = rows.filter(pc.is_valid(rows.column("texts")))
-        read = lambda c: pa.ipc.open_stream(own.column(c)[0].as_py()).read_all()
-        lists = lambda t, c: (t.column(c).combine_chunks().flatten().to_numpy(), t.column(c).combine_chunks().value_lengths().to_numpy().astype(np.int64))
-        units, n_units = lists(read("keys"), "units")
-        texts = read("texts")
-        keys, n_keys = lists(texts, "keys")
-        # Pieces of each key, then of all texts.
-        per_key = np.add.reduceat(np.append(n[units], 0), np.cumsum(n_units) - n_units) if len(n_units) else np.zeros(0, np.int64)
-        key_ids = taken(flat, np.cumsum(n) - n, n, units)
-        ids = taken(key_ids, np.cumsum(per_key) - per_key, per_key, keys)
-        ends = np.concatenate(([0], np.cumsum(per_key[keys])))[np.concatenate(([0], np.cumsum(n_keys)))]
+        docs_, numbers, names = (rows.column(c).drop_null()[0].as_py() for c in ("docs", "numbers", "names"))
+        own = pa.ipc.open_stream(docs_).read_all()
+        size = own.column("n").to_numpy()
+        units = decompressed(names, len(n))[decompressed(numbers, int(size.sum()))]
+        ids = taken(flat, np.cumsum(n) - n, n, units)
+        ends = np.concatenate(([0], np.cumsum(n[units])))[np.concatenate(([0], np.cumsum(size)))]
         decoded = pa.array(spelled, pa.binary()).take(pa.array(ids))
         at, data = np.frombuffer(decoded.buffers()[1], np.int32)[: len(ids) + 1], memoryview(decoded.buffers()[2] or b"")
-        hashes = [hashlib.sha256(data[a + 1 : b]).hexdigest() for a, b in zip(at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True)]
-        return pa.table([texts.column("doc_id"), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array(hashes, pa.string())], names=[x.split(" ")[0] for x in IDS.split(", ")])
+        # Without the space that every text begins with.
+        hashes = [hashlib.sha256(data[a + 1 : b]).digest() for a, b in zip(at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True)]
+        if hashes != own.column("sha").to_pylist():
+            raise RuntimeError("a decoded text differs from the text: the input changed between two passes")
+        return pa.table([own.column("doc_id"), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array([h.hex() for h in hashes], pa.string())], names=names_of(IDS))
 
-    every = back.unionByName(texts, allowMissingColumns=True).select("block", "part", "ids", "sizes", "texts", "keys")
-    return every.groupBy("block").applyInArrow(block, IDS)
+    return back.unionByName(texts, allowMissingColumns=True).groupBy("block").applyInArrow(block, IDS)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
