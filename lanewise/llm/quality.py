@@ -1,9 +1,10 @@
 """Quality rules: text statistics with fixed base rules, then robust multivariate outliers by language and source.
 
 All statistics are taken inside a row by DataFrame functions. The outlier verdict is a Mahalanobis distance to a
-regularised minimum-covariance-determinant (MCD) estimate of each (lang, source): concentration steps from two starts
-(the moments of all rows; medians and scaled absolute deviations) that each keep the `keep` share of rows nearest to
-the current estimate. A step is one aggregation of counts, sums and cross products by group and distance bin and a
+regularised minimum-covariance-determinant (MCD) estimate of each (lang, source), shrunk towards that of the language,
+and that towards the estimate of all rows, with the weight of PRIOR_ROWS rows: a rule for groups of every size.
+Estimates come from concentration steps from two starts (the moments of all rows; medians and scaled absolute
+deviations) that each keep the `keep` share of rows nearest to the current estimate. A step is one aggregation of counts, sums and cross products by group and distance bin and a
 running count over the bins, so no step gathers a group's rows: its subset ends with a whole bin (1/32 octave).
 """
 
@@ -15,11 +16,18 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, let, stage, table, words_of
 
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
-#: Added to each feature's variance (squared), so that a feature that is constant in a group rejects nothing small.
+#: Spreads that are never held against a text, added to each feature's variance (squared): twice the length (log 2), an
+#: eighth in word length and in the shares of repeated lines and words, not quite twice the symbols.
 FLOORS = (0.7, 0.12, 0.6, 0.12, 0.12)
-#: Share of rows an estimate rests on; the chi-square quantile (5 degrees of freedom) of that share; the cutoff in
-#: units of a chi-square variable; concentration steps; smallest group with estimates of its own.
-KEEP, KEEP_CHI2, CUTOFF, STEPS, LEAST_ROWS = 0.75, 6.6257, 60.0, 5, 60
+#: Share of rows an estimate rests on; the chi-square quantile (5 degrees of freedom) of that share; concentration steps;
+#: the rows that a parent's estimate counts as beside a group's own.
+KEEP, KEEP_CHI2, STEPS, PRIOR_ROWS = 0.75, 6.6257, 5, 60
+#: Text statistics are far from normal, so the cutoff is not a normal quantile. By Chebyshev's inequality for vectors, at
+#: most d / cutoff of any distribution lie beyond a squared distance of `cutoff`: here a twelfth.
+MOST_BEYOND = 1 / 12
+CUTOFF = len(FEATURES) / MOST_BEYOND
+#: Steps of a feature by which medians are taken, so that they are sums of counts and never depend on the partitioning.
+GRID = 256
 BINS_PER_OCTAVE = 32
 
 
@@ -93,12 +101,22 @@ def distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", sum(F.col(f"z{i}") * F.col(f"z{i}") for i in range(d)))
 
 
+def medians(rows: DataFrame, columns: list[Column], name: str) -> DataFrame:
+    """grp and `name`0, 1, ..: each column's lower median by group, to 1 / GRID, from counts by bin."""
+    long = rows.select("grp", F.posexplode(F.array(*columns)).alias("i", "x")).select("grp", "i", F.round(F.col("x") * GRID).alias("bin"))
+    by = Window.partitionBy("grp", "i")
+    upto = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    counts = long.groupBy("grp", "i", "bin").agg(F.count("*").alias("n")).select("grp", "i", "bin", (upto * 2 >= F.sum("n").over(by)).alias("half"))
+    return counts.where("half").groupBy("grp").agg(*(F.min(F.when(F.col("i") == i, F.col("bin") / GRID)).alias(f"{name}{i}") for i in range(len(columns))))
+
+
 def mcd(rows: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
-    """The estimates by group: rows has `grp` and FEATURES. Returns grp, m, l and `scale` (distance that holds `keep` of the rows)."""
+    """The estimates by group: rows has `grp` and FEATURES. Returns grp, rows, m, l and `scale` (the squared distance
+    that holds `keep` of the rows)."""
     d = len(FEATURES)
     first = rows.groupBy("grp").agg(*moments()).withColumn("start", F.lit(0))
-    medians = rows.groupBy("grp").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"c{i}") for i, c in enumerate(FEATURES)))
-    spread = rows.join(medians, "grp").groupBy("grp").agg(*(F.max(f"c{i}").alias(f"s{i}") for i in range(d)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5, 1000).alias(f"a{i}") for i in range(d)))
+    centre = stage(medians(rows, [F.col(c) for c in FEATURES], "s"), "mcd-centre")
+    spread = medians(rows.join(centre, "grp"), [F.abs(F.col(c) - F.col(f"s{i}")) for i, c in enumerate(FEATURES)], "a").join(centre, "grp")
     second = spread.select("grp", F.lit(1).cast("long").alias("n"), *(F.col(f"s{i}") for i in range(d)), *((F.col(f"s{i}") * F.col(f"s{j}") + (F.pow(1.4826 * F.col(f"a{i}"), F.lit(2)) if i == j else 0)).alias(f"p{i}{j}") for i in range(d) for j in range(i + 1)), F.lit(1).alias("start"))
     now = stage(estimate(first.unionByName(second)), "mcd-start")
     for _ in range(steps):
@@ -107,34 +125,71 @@ def mcd(rows: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
         upto = by.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         kept = bins.withColumn("of", F.sum("n").over(by)).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") < F.col("of") * keep)
         sums = [c for c in bins.columns if c not in ("grp", "start", "bin")]
-        now = stage(estimate(kept.groupBy("grp", "start").agg(*(F.sum(c).alias(c) for c in sums), F.max("bin").alias("edge"))), "mcd-step")
+        now = stage(estimate(kept.groupBy("grp", "start").agg(*(F.sum(c).alias(c) for c in sums), F.max("bin").alias("edge"), F.max("of").alias("rows"))), "mcd-step")
     det = sum(F.log(F.col(f"l{i}{i}")) for i in range(d))
     best = now.groupBy("grp").agg(F.min_by(F.struct(*(c for c in now.columns if c != "grp")), F.struct(det, "start")).alias("b")).select("grp", "b.*")
     return best.withColumn("scale", F.pow(F.lit(2.0), (F.col("edge") + 1) / BINS_PER_OCTAVE)).drop("start", "edge")
 
 
-def quality_rules(docs: DataFrame, keep: float = KEEP, cutoff: float = CUTOFF, steps: int = STEPS, least_rows: int = LEAST_ROWS) -> DataFrame:
+def shrunk(own: DataFrame, parent: DataFrame, prior: int) -> DataFrame:
+    """own's estimates (keys, rows, m, c, scale) drawn to those of their parent (p_m, p_c, p_scale), as of `prior` rows."""
+    share = F.col("rows") / (F.col("rows") + prior)
+    values = [c for c in parent.columns if c[:2] == "p_"]
+    return own.join(parent, [c for c in parent.columns if c not in values], "left").select(
+        *(c for c in own.columns if f"p_{c}" not in values), *((F.col(c[2:]) * share + F.coalesce(F.col(c), F.col(c[2:])) * (1 - share)).alias(c[2:]) for c in values),
+    )
+
+
+def covariances(best: DataFrame) -> DataFrame:
+    """c, the lower triangle of the covariance l l', in place of l."""
+    d = len(FEATURES)
+    return best.select(*(c for c in best.columns if c[0] != "l"), *(sum(F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j + 1)).alias(f"c{i}{j}") for i in range(d) for j in range(i + 1)))
+
+
+def factors(shrunken: DataFrame) -> DataFrame:
+    """l, the Cholesky factor, in place of c."""
+    d = len(FEATURES)
+    out = shrunken
+    for i in range(d):
+        for j in range(i + 1):
+            c = F.col(f"c{i}{j}")
+            for k in range(j):
+                c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l{j}{j}"))
+    return out.drop(*(f"c{i}{j}" for i in range(d) for j in range(i + 1)))
+
+
+def group_limits(rows: DataFrame, keep: float = KEEP, steps: int = STEPS, prior: int = PRIOR_ROWS) -> DataFrame:
+    """l and s (language and source), m, l and scale of every group; rows has l, s and FEATURES."""
+    nothing = F.lit(None).cast("string")
+    level_of = lambda k, lang, source: F.struct(F.lit(k).alias("level"), lang.alias("l"), source.alias("s"))
+    levels = F.array(level_of(0, nothing, nothing), level_of(1, F.col("l"), nothing), level_of(2, F.col("l"), F.col("s")))
+    best = stage(covariances(mcd(rows.select(F.explode(levels).alias("grp"), *FEATURES), keep, steps)), "quality-estimates")
+    values = [c for c in best.columns if c not in ("grp", "rows")]
+    parent = lambda df, keys: df.select(*keys, *(F.col(c).alias(f"p_{c}") for c in values))
+    level = lambda k, keys: best.where(F.col("grp.level") == k).select(*(F.col(f"grp.{c}").alias(c) for c in keys), "rows", *values)
+    langs = shrunk(level(1, ["l"]).withColumn("one", F.lit(1)), parent(level(0, []).withColumn("one", F.lit(1)), ["one"]), prior).drop("one")
+    return factors(shrunk(level(2, ["l", "s"]), parent(langs, ["l"]), prior)).drop("rows")
+
+
+def quality_rules(docs: DataFrame, keep: float = KEEP, cutoff: float = CUTOFF, steps: int = STEPS, prior: int = PRIOR_ROWS) -> DataFrame:
     """doc_id, lang, source, the statistics, base_failed, d2 and kept of every row.
 
     base_failed: fewer than 50 words, or more than half of the words repeated. Others are kept unless their distance
-    exceeds `cutoff`, scaled so that the `keep` share of the group lies within its chi-square quantile. Groups under
-    least_rows are estimated together; if that has too few rows as well, none of it is rejected. Null texts have no
+    exceeds `cutoff`, scaled so that the `keep` share of the group lies within its chi-square quantile. Every group has
+    an estimate of its own, however few its rows; its parents' count as `prior` rows beside them. Null texts have no
     words; null languages and sources are groups; repeated rows count each; empty tables give no rows; other columns of
     docs are ignored.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     own = features(text_stats(docs.select("doc_id", "text", "lang", "source"))).drop("text")
-    own = stage(own.withColumn("base_failed", failed).withColumn("own", F.struct(F.coalesce("lang", F.lit("")).alias("l"), F.coalesce("source", F.lit("")).alias("s"))), "quality-stats")
-    counts = own.where("not base_failed").groupBy("own").agg(F.count("*").alias("n"))
-    # Groups too small for estimates share one group, named by null.
-    names = stage(counts.select("own", F.when(F.col("n") >= least_rows, F.to_json("own")).otherwise(F.lit("")).alias("grp"), "n"), "quality-groups")
-    rows = own.where("not base_failed").join(names.select("own", "grp"), "own").select("grp", *FEATURES)
-    best = mcd(rows, keep, steps)
-    enough = names.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") >= least_rows).select("grp")
-    limits = stage(names.select("own", "grp").join(best.join(enough, "grp"), "grp").drop("grp"), "quality-limits")
-    scored = distance(own.join(limits, "own", "left"))
+    # Null and "" are two groups.
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    own = stage(own.withColumns({"base_failed": failed, "l": name("lang"), "s": name("source")}), "quality-stats")
+    limits = stage(group_limits(own.where("not base_failed").select("l", "s", *FEATURES), keep, steps, prior), "quality-limits")
+    scored = distance(own.join(limits, ["l", "s"], "left"))
     verdict = ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") * KEEP_CHI2 <= F.col("scale") * cutoff))
-    return scored.withColumn("kept", verdict)
+    return scored.withColumn("kept", verdict).drop("l", "s")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
