@@ -5,7 +5,9 @@ however short and with or without a digit. Features: length, shares of digits, l
 signs, changes of character class and the share of vowels (character transitions), the share of letters in
 runs that are corpus words (dictionary coverage), whether the candidate lies in a path, and the neighbouring words.
 The forest is trained on labelled findings; where no table of them is given, a bounded sample of candidates is labelled
-by whether a credential's name is assigned to them, with placeholders labelled as false.
+by whether a credential's name is assigned to them, with placeholders labelled as false. No feature reads what that rule
+reads: the left neighbour is the word before the credential's name and its sign, so the forest has to tell secrets by
+their form and surroundings, and finds them where no name stands before them.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ NAME = r"(?:token|secret|password|passwd|pwd|api[_\- ]?key|access[_\- ]?key|auth
 ASSIGNS = rf"(?i:{NAME}[\"']?\s*(?:=>|:=|[=:])\s*(?:bearer\s+)?|bearer\s+)"
 ASSIGNED = ASSIGNS + r"(?:\"[^\"\n]+(?=\")|'[^'\n]+(?=')|[^\s\"'&;,<>]*[^\s\"'&;,<>.:!?)\]}])"
 CREDENTIAL = rf"(?i){NAME}[\"']?\s*(?:=>|:=|[=:])?\s*[\"']?$"
+#: All that the rule may read before a value: a name of key characters and signs up to it.
+LEAD_IN = r"[\"']?[A-Za-z0-9_\-]*[\"']?\s*(?:=>|:=|[=:])\s*(?i:bearer\s+)?[\"']?$|(?i:" + NAME + r")[\"']?\s*[\"']?$|[\"']$"
 PLACEHOLDER = r"(?i)example|x{6,}|0{8,}|1234567|changeme|placeholder"
 CONTEXT, TRAIN_ROWS, DICTIONARY_WORDS, TREES, DEPTH, SEED, WORD_BUCKETS = 48, 20_000, 5_000, 20, 6, 7, 8
 THRESHOLD = 0.5
-NUMERIC = ("f_length", "f_digits", "f_lower", "f_upper", "f_signs", "f_hex", "f_runs", "f_distinct", "f_vowels", "f_known", "f_path", "f_assigned", "f_quoted", *(f"f_word{i}" for i in range(WORD_BUCKETS)), *(f"f_next{i}" for i in range(WORD_BUCKETS)))
+NUMERIC = ("f_length", "f_digits", "f_lower", "f_upper", "f_signs", "f_hex", "f_runs", "f_distinct", "f_vowels", "f_known", "f_path", *(f"f_word{i}" for i in range(WORD_BUCKETS)), *(f"f_next{i}" for i in range(WORD_BUCKETS)))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -73,7 +77,7 @@ def features(found: DataFrame, known: DataFrame) -> DataFrame:
     classes = reduce(lambda c, p: F.regexp_replace(c, *p), [(r"[0-9]", "9"), (r"[a-z]", "a"), (r"[A-Z]", "B"), (r"[^9aB]", "-")], x)
     letters = F.regexp_replace(F.lower("found"), "[^a-z]", "")
     vowels = F.length(F.regexp_replace(F.lower("found"), "[^aeiou]", ""))
-    left = F.lower(F.regexp_extract("before", r"([A-Za-z]+)[^A-Za-z]*$", 1))
+    left = F.lower(F.regexp_extract(F.regexp_replace("before", LEAD_IN, ""), r"([A-Za-z]+)[^A-Za-z]*$", 1))
     right = F.lower(F.regexp_extract("after", r"^[^A-Za-z]*([A-Za-z]+)", 1))
     bucket = lambda w, i: ((w != "") & (F.pmod(F.xxhash64(w), F.lit(WORD_BUCKETS)) == i)).cast("double")
     one = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
@@ -81,12 +85,15 @@ def features(found: DataFrame, known: DataFrame) -> DataFrame:
         "f_length": n.cast("double"), "f_digits": share("[^0-9]"), "f_lower": share("[^a-z]"), "f_upper": share("[^A-Z]"), "f_signs": share("[A-Za-z0-9]"),
         "f_hex": one(x.rlike("^[0-9a-fA-F]+$")), "f_runs": F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) / n,
         "f_distinct": F.size(F.array_distinct(F.split(x, ""))) / n, "f_vowels": vowels / F.greatest(F.length(letters), F.lit(1)),
-        "f_path": one(F.col("before").rlike(r"(://|www\.|/)\S*$") | x.rlike("/.*/")), "f_assigned": one(F.col("before").rlike(r"[=:]\s*[\"']?$")), "f_quoted": one(F.col("before").rlike("[\"']$")),
+        "f_path": one(F.col("before").rlike(r"(://|www\.|/)\S*$") | x.rlike("/.*/")),
         **{f"f_word{i}": bucket(left, i) for i in range(WORD_BUCKETS)}, **{f"f_next{i}": bucket(right, i) for i in range(WORD_BUCKETS)},
     })
-    runs = found.select("doc_id", "at", n.alias("length"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("found"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("w"))
-    covered = runs.join(F.broadcast(known), "w").groupBy("doc_id", "at", "length").agg(F.sum(F.length("w")).alias("covered"))
-    return plain.join(covered.withColumnRenamed("doc_id", "_d").withColumnRenamed("at", "_a").withColumnRenamed("length", "_l"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("at") == F.col("_a")) & (n == F.col("_l")), "left").withColumn("f_known", F.least(F.lit(1.0), F.coalesce(F.col("covered"), F.lit(0)) / F.greatest(F.length(letters), F.lit(1)))).drop("_d", "_a", "_l", "covered")
+    # Coverage depends on the candidate's characters alone, so it is taken once for each distinct one.
+    runs = found.select("found").distinct().select("found", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("found"), F.lit("[a-z]{3,}"), F.lit(0)))).alias("w"))
+    covered = runs.join(F.broadcast(known), "w").groupBy(F.col("found").alias("_found")).agg(F.sum(F.length("w")).alias("_covered"))
+    covered = stage(covered, "secret-coverage")
+    joined = plain.join(covered, F.col("found") == F.col("_found"), "left")
+    return joined.withColumn("f_known", F.least(F.lit(1.0), F.coalesce(F.col("_covered"), F.lit(0)) / F.greatest(F.length(letters), F.lit(1)))).drop("_found", "_covered")
 
 
 def rule_label(found: DataFrame) -> DataFrame:
@@ -104,7 +111,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, train_rows:
     """
     docs = docs.select("doc_id", "text")
     known = stage(dictionary(docs), "secret-words")
-    scored = stage(features(candidates(docs), known), "secret-candidates")
+    scored = stage(features(stage(candidates(docs), "secret-found"), known), "secret-candidates")
     if labelled is None:
         findings = rule_label(scored)
     else:
