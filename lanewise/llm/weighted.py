@@ -10,15 +10,19 @@ function, finer and finer towards the lower tail of c, which decides.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import let, stage, table, words_of
 
-SAMPLES, SHINGLE = 32, 5
-#: Rows of a bucket of neighbouring ids, on average, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 512, 1_000_000
+SAMPLES, SHINGLE = 40, 5
+#: Rows of a bucket of neighbouring ids, on average, and the most bounds between buckets.
+BUCKET_ROWS, MOST_BOUNDS = 512, 1 << 15
+#: Bits of a text's hash by which rows with one id are dealt to buckets.
+HASH_BITS = 20
 
 
 def gamma_quantiles(p: np.ndarray) -> np.ndarray:
@@ -99,25 +103,53 @@ def spelled(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))), "")
 
 
+def bucket_of(docs: DataFrame, bucket_rows: int) -> Column:
+    """The bucket of a row (columns doc_id, order): buckets ascend as ids descend, null ids are last.
+
+    Bounds are quantiles of the ids, so buckets hold about equally many rows wherever the ids lie. An id that is a
+    bound several times over, and null ids, have as many buckets of their own, by the hash of their texts. Quantiles are
+    taken as doubles, so the bounds are 1024 ids apart at least near the ends of a long; order never depends on them.
+    """
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    wanted = min(MOST_BOUNDS, (n - nulls) // bucket_rows)
+    cuts = docs.agg(F.percentile_approx("doc_id", [(i + 1) / (wanted + 1) for i in range(wanted)], 10 * max(1000, wanted))).first()[0] if wanted else []
+    times = Counter(cuts)
+    bounds = sorted(times)
+    listed = lambda xs, kind: F.split(F.lit(" ".join(map(str, xs))), " ").cast(f"array<{kind}>")
+    # By halving: the last bound that isn't above the id, -1 if all are.
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(-1), lambda a, s: F.when(F.get(listed(bounds, "bigint"), a + s) <= F.col("doc_id"), a + s).otherwise(a)) if bounds else F.lit(-1)
+    part = lambda k: F.shiftright(F.shiftrightunsigned(F.col("order").bitwiseXOR(F.lit(-(2**63))), 64 - HASH_BITS) * k, HASH_BITS)
+
+    def numbered(j: Column) -> Column:
+        own = F.get(listed([times[b] for b in bounds], "bigint"), j)
+        same = (F.get(listed(bounds, "bigint"), j) == F.col("doc_id")) & (own > 1)
+        after = (F.lit(len(bounds)) - j).cast("long") * 2
+        return F.when(same, F.shiftleft(after + 1, HASH_BITS) + part(own)).otherwise(F.shiftleft(after, HASH_BITS))
+
+    null_parts = min(MOST_BOUNDS, nulls // bucket_rows + 1)
+    with_id = let(at, numbered) if bounds else F.lit(0).cast("long")
+    return F.when(F.col("doc_id").isNull(), F.lit((2 * len(bounds) + 4) << HASH_BITS) + part(F.lit(null_parts))).otherwise(with_id)
+
+
 def neighbours(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """bucket, at, extra, doc_id, text, next: each row beside the next lower id's text (after the least: the greatest).
 
-    Ids are cut into buckets of about bucket_rows; each bucket also gets, as a last row with extra = 1, the row that
-    follows its least. Null ids come after all others, equal ids in the order of their texts' hashes.
+    Rows are cut into buckets of about bucket_rows; each bucket also gets, as a last row with extra = 1, the row that
+    follows its last. Null ids come after all others, equal ids in the order of their texts' hashes.
     """
-    least, most, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    least, most = (0, 0) if least is None else (least - 1, most)
-    width = max(1, (most - least + 1) * max(bucket_rows, n // MOST_BUCKETS) // max(n, 1))
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(least)).alias("id"))
-    bucket = F.expr(f"(id - {least}L) div {width}L")
-    tops = own.select("id").groupBy(bucket.alias("bucket")).agg(F.max("id").alias("top"))
-    order = Window.orderBy("bucket")  # at most MOST_BUCKETS rows
-    givers = stage(tops.select("bucket", F.coalesce(F.lag("top").over(order), F.lit(most)).alias("giver")), "cws-givers")
-    targets = givers.groupBy("giver").agg(F.collect_list("bucket").alias("to"))
-    own = own.withColumn("bucket", bucket).join(targets, F.col("id") == F.col("giver"), "left")
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("order", F.xxhash64("text"))
+    bucket = bucket_of(docs, bucket_rows)
+    # The first row of a bucket has the greatest id and, of equal ones, the least hash.
+    firsts = own.select("doc_id", "order", bucket.alias("bucket")).groupBy("bucket").agg(F.max(F.struct("doc_id", F.bitwise_not("order").alias("late"))).alias("first"))
+    order = Window.orderBy("bucket")  # 4 * MOST_BOUNDS rows at most
+    followed = firsts.select("bucket", F.lead("first").over(order).alias("giver"), F.first("first").over(order).alias("top"))
+    givers = stage(followed.select("bucket", F.coalesce("giver", "top").alias("giver")), "cws-givers")
+    targets = givers.groupBy(F.col("giver.doc_id").alias("_id"), F.bitwise_not("giver.late").alias("_order")).agg(F.collect_list("bucket").alias("to"))  # one or two each
+    own = own.withColumn("bucket", bucket).join(F.broadcast(targets), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("order") == F.col("_order")), "left")
     places = F.concat(F.array(F.struct("bucket", F.lit(0).alias("extra"))), F.coalesce(F.transform("to", lambda b: F.struct(b.alias("bucket"), F.lit(1).alias("extra"))), F.array().cast("array<struct<bucket:bigint,extra:int>>")))
-    rows = own.select("doc_id", "id", "text", F.explode(places).alias("p")).select("p.bucket", "p.extra", "doc_id", "id", "text")
-    within = Window.partitionBy("bucket").orderBy("extra", F.col("id").desc(), F.xxhash64("text"))
+    rows = own.select("doc_id", "order", "text", F.explode(places).alias("p")).select("p.bucket", "p.extra", "doc_id", "order", "text")
+    within = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc_nulls_last(), "order")
     return rows.select("bucket", "extra", "doc_id", F.row_number().over(within).alias("at"), "text", F.lead("text").over(within).alias("next"))
 
 
