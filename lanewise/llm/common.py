@@ -14,9 +14,11 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) is one made."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session (tests) may do without."""
     where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_lanewise_dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = spark._lanewise_dir = tempfile.mkdtemp(prefix="spark-")
     return where.rstrip("/")
 

@@ -3,8 +3,8 @@
 Equal texts form a group. A group up to ``1 / (shards * parts)`` of any total is placed with the other small groups
 of its parcel (a hash of the text's digest picks one of ``shards * parts`` parcels), so that the number of items to
 place is bounded however many documents there are; a larger group is an item of its own. Only a group of more than
-``1 / (shards * CUT)`` of a total, a stated part of a shard, is cut by a hash of the id, into pieces of about
-``1 / (shards * parts)``, since no whole group of a third of all rows fits a shard; all smaller ones have one shard.
+``1 / (shards * CUT)`` of a total, a shard's whole share, is cut by a hash of the id, into pieces of about
+``1 / (shards * parts)``, since no shard holds it; all smaller ones have one shard.
 Items go in descending order of size to the shard whose residual capacity has the highest dot product with the item's
 vector (bytes, tokens, rows, each as a share of its total), among the shards that the item does not overfill.
 """
@@ -19,8 +19,8 @@ from .common import byte_length, stage, table, words_of
 
 #: Parcels of small groups per shard.
 PARTS = 128
-#: Groups of up to 1 / CUT of a shard stay whole.
-CUT = 2
+#: Groups of up to 1 / CUT of a shard's equal share stay whole.
+CUT = 1
 #: Rows of one numbering block within a shard.
 BLOCK_ROWS = 4096
 
@@ -46,7 +46,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, parts: int = PARTS, block
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null) and tokens of every row.
 
     Null texts count as empty; repeated rows keep a slot each; null ids are rows like others; an empty table gives no
-    rows; columns other than doc_id and text are ignored. Slots number a shard's rows from 0 by block and id.
+    rows; columns other than doc_id and text are ignored. Slots number a shard's rows from 0 by block and id. Copies of a hot group that have no id share one piece.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
@@ -86,7 +86,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, parts: int = PARTS, block
 def number_slots(rows: DataFrame, n: int, shards: int, block_rows: int) -> DataFrame:
     """Add slot, gapless from 0 in each shard. Rows are numbered within blocks; the blocks' offsets are sums of counts."""
     blocks = max(1, -(-n // (shards * block_rows)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

@@ -123,6 +123,24 @@ def test_fingerprints_odd(spark, odd, none):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("kind", ["dense", "both ends", "outlier", "half null", "one id"])
+def test_neighbours_of_any_ids(spark, kind):
+    """Buckets of about equal size and the right next text, wherever the ids lie."""
+    n = 3000
+    ids = {
+        "dense": list(range(n)), "both ends": [-9 * 10**18 + i * 10**6 if i % 2 else 9 * 10**18 - i * 10**6 for i in range(n)], "outlier": [10**15, *range(n - 1)],
+        "half null": [None if i % 2 else i for i in range(n)], "one id": [7 if i % 3 else i + 10**6 for i in range(n)],
+    }[kind]
+    df = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string").repartition(5)
+    rows = weighted.neighbours(df, bucket_rows=50).collect()
+    sizes = Counter(r.bucket for r in rows)
+    assert max(sizes.values()) <= 4 * 50 and sum(r.extra for r in rows) == len(sizes)
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, _, t in sorted((d is None, -(d or 0), (hashes[f"text {i}"], f"text {i}")) for i, d in enumerate(ids))]
+    want = {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    assert {r.text: r.next for r in rows if not r.extra} == want
+
+
 def test_pieces(spark, odd, none):
     table_ = pieces.Pieces()
     found = {p: (i, s) for p, i, s in table_.rows}
@@ -313,6 +331,46 @@ def test_mcd_of_a_contaminated_group(spark):
     assert all(abs(e[f"m{i}"]) < 0.35 for i in range(5)) and 0.3 < e.l00 < 1.5
 
 
+def plain_mcd(x, keep, steps):
+    """The same estimate in plain numpy: subsets end with a whole distance bin; returns mean, covariance and scale."""
+    floors = np.diag(np.square(quality.FLOORS))
+    low = lambda v: np.sort(np.round(v * quality.GRID))[(len(v) - 1) // 2] / quality.GRID
+    centre = np.array([low(x[:, i]) for i in range(5)])
+    mad = np.array([low(np.abs(x[:, i] - centre[i])) for i in range(5)])
+    best = None
+    for start, (m, c) in enumerate([(x.mean(0), np.cov(x.T, bias=True) + floors), (centre, np.diag((1.4826 * mad) ** 2) + floors)]):
+        for _ in range(steps):
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            bins = np.floor(np.log2(d2 + 1e-6) * quality.BINS_PER_OCTAVE)
+            edge = max(b for b in set(bins) if (bins < b).sum() < keep * len(x))
+            own = x[bins <= edge]
+            m, c = own.mean(0), np.cov(own.T, bias=True).reshape(5, 5) + floors
+        found = (np.log(np.linalg.det(c)) / 2, start, m, c, 2.0 ** ((edge + 1) / quality.BINS_PER_OCTAVE))
+        best = found if best is None or found[:2] < best[:2] else best
+    return best[2:]
+
+
+def test_groups_of_every_size(spark):
+    """Groups of 5 to 400 rows against plain numpy, estimates and shrinkage alike."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g, (lang, n) in enumerate([("a", 5), ("a", 17), ("a", 60), ("b", 400), ("b", 9), ("c", 1)]):
+        x = rng.normal(g, 1 + 0.1 * g, (n, 5))
+        x[: n // 6] += 12
+        rows += [(lang, f"s{g}", *map(float, r)) for r in x]
+    df = spark.createDataFrame(rows, "l string, s string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = {(r.l, r.s): r for r in quality.group_limits(df).collect()}
+    of = lambda keep: np.array([r[2:] for r in rows if keep(r)])
+    draw = lambda own, n, parent: tuple((n * a + quality.PRIOR_ROWS * b) / (n + quality.PRIOR_ROWS) for a, b in zip(own, parent, strict=True))
+    every = plain_mcd(of(lambda r: True), quality.KEEP, quality.STEPS)
+    assert len(got) == 6
+    for (lang, source), r in got.items():
+        of_lang, mine = of(lambda q: q[0] == lang), of(lambda q: q[:2] == (lang, source))  # noqa: B023
+        m, c, scale = draw(plain_mcd(mine, quality.KEEP, quality.STEPS), len(mine), draw(plain_mcd(of_lang, quality.KEEP, quality.STEPS), len(of_lang), every))
+        low = np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in range(5)] for i in range(5)])
+        assert np.allclose([r[f"m{i}"] for i in range(5)], m) and np.allclose(low @ low.T, c) and np.isclose(r.scale, scale), (lang, source)
+
+
 def test_quality_odd(odd, none):
     rows = quality.quality_rules(odd).collect()
     assert len(rows) == odd.count() and not next(r for r in rows if r.doc_id == 3).kept and "key" not in rows[0].asDict()
@@ -352,6 +410,15 @@ def test_secrets(spark, small, odd, none):
     assert secrets.scan_secrets(odd).count() == 0 and secrets.scan_secrets(none).count() == 0
 
 
+def test_repeated_rows_score_alike(spark):
+    """Features depend on the text alone: repeated rows, and rows without an id, get the same as a single one."""
+    text = "the token = a1b2c3d4e5f6a7b8c9d0words here"
+    one = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    known = spark.createDataFrame([("words",)], "w string")
+    f = lambda rows: {tuple(r[c] for c in secrets.NUMERIC) for r in secrets.features(secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string")), known).collect()}
+    assert one.count() == 1 and f([(1, text)]) == f([(1, text), (1, text), (None, text), (None, text)])
+
+
 def test_secrets_labelled(spark):
     docs = spark.createDataFrame([(i, f"see {'a1b2c3d4' * 3} here" if i % 2 else f"key = {'f9e8d7c6' * 5} end") for i in range(40)], "doc_id long, text string")
     labels = docs.selectExpr("doc_id", "case when doc_id % 2 = 1 then 4L else 6L end as at", "1 - doc_id % 2 as label").where("doc_id < 20")
