@@ -33,8 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_CHARS, LONGEST_FOLDED = 4 << 20, 256
 #: Parts that units are dealt to, at most; beyond as many blocks, a part's blocks are dealt to several groups.
 MOST_PARTS = 1 << 16
-#: Units of a task whose edges are grouped without a sort.
-UNITS_AT_ONCE = 50_000
+#: Units of a task whose edges are grouped without a sort; units that are packed into one row a part.
+UNITS_AT_ONCE, PACKED_UNITS = 50_000, 50_000
 #: Fixed values of the format: the sign for a space, and what an unknown character costs below the least score.
 SPACE, UNKNOWN_COST = "▁", 10.0
 UNIT = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
@@ -42,7 +42,8 @@ UNIT = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
 END, START, UNKNOWN, MASK = 44, 28, 1 << 24, (1 << 28) - 1
 WORDS = "block long, grp int, part int, words string"
 TEXTS = "block long, docs binary, numbers binary, names binary"
-CODED = "block long, part int, ids binary, sizes binary"
+PACKED = "part int, words string, ids binary, sizes binary"
+CODED = "block long, part int, n int, ids binary, sizes binary"
 IDS = "doc_id long, n_pieces int, ids array<int>, decoded_sha256 string"
 
 
@@ -136,7 +137,7 @@ def taken(values: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.nda
 
 def compressed(numbers: np.ndarray) -> bytes:
     """Numbers as four planes of bytes, so that the usual small ones leave little."""
-    return pa.Codec("zstd").compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+    return pa.Codec("zstd", compression_level=6).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
 def decompressed(data: bytes, n: int) -> np.ndarray:
@@ -280,13 +281,44 @@ def encode_units(words: DataFrame, long_words: DataFrame, pieces: Pieces, keys:
     return folded.unionByName(long_ones)
 
 
-def spelled_out(ids: pa.ChunkedArray, byte_ids: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def spelled_out(ids: pa.Array, byte_ids: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after the other, with the bytes' pieces for characters without one, and the number of each list's."""
-    flat, size = ids.combine_chunks().flatten().to_numpy(), ids.combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    flat, size = ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
     if not len(flat) or flat.min() >= 0:
-        return flat.astype(np.uint16), size
+        return flat, size
     lists = [[x for i in own for x in ([i] if i >= 0 else [byte_ids[c] for c in chr(-i).encode("utf-8", "surrogatepass")])] for own in ids.to_pylist()]
-    return np.array([x for own in lists for x in own], np.uint16), np.array([len(own) for own in lists], np.int64)
+    return np.array([x for own in lists for x in own], np.int64), np.array([len(own) for own in lists], np.int64)
+
+
+def pack_units(coded: DataFrame, byte_ids: dict[int, int]) -> DataFrame:
+    """PACKED rows of many units each, from part, word and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list, list, list]] = {}
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(part, " ".join(words), compressed(np.concatenate(ids)), compressed(np.concatenate(sizes))) for part, (words, ids, sizes) in held.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names_of(PACKED))
+
+        for b in batches:
+            ids, n = spelled_out(b.column("ids"), byte_ids)
+            part, words = b.column("part").to_numpy(), np.array(b.column("word").to_pylist(), dtype=object)
+            for k in np.unique(part):
+                own = np.flatnonzero(part == k)
+                kept = held.setdefault(int(k), ([], [], []))
+                kept[0].extend(words[own])
+                kept[1].append(taken(ids, np.cumsum(n) - n, n, own))
+                kept[2].append(n[own])
+            count += b.num_rows
+            if count >= PACKED_UNITS:
+                yield from flush()
+                held.clear()
+                count = 0
+        yield from flush()
+
+    return coded.select("part", "word", "ids").mapInArrow(run, PACKED)
 
 
 def decode_ids(ids: list[int] | np.ndarray, spelled: list[bytes]) -> str:
@@ -309,33 +341,40 @@ def encode(docs: DataFrame, model: str = MODEL, block_chars: int = BLOCK_CHARS)
     each = lambda rows, long: rows.select("part", F.explode(F.split("words", " ")).alias("word")).where((F.length("word") > LONGEST_FOLDED) == F.lit(long)).distinct()
     short = each(units.select("part", "words").repartition(parts, "part"), False)
     long_words = each(units.where(F.col("words").rlike(f"[^ ]{{{LONGEST_FOLDED + 1}}}")), True)
-    coded = stage(encode_units(short, long_words, pieces, ("part",)), "piece-units", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(UNITS_AT_ONCE)})
-    coded = coded.select("part", "word", "ids", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    spelled, byte_ids = pieces.spelled, pieces.bytes
+    coded = stage(pack_units(encode_units(short, long_words, pieces, ("part",)), pieces.bytes), "piece-units", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(UNITS_AT_ONCE)})
+    coded = coded.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    spelled = pieces.spelled
 
     def look_up(own: pa.Table, coded: pa.Table) -> pa.Table:
-        flat, n = spelled_out(coded.column("ids"), byte_ids)
-        number = {w: i for i, w in enumerate(coded.column("word").to_pylist())}
-        out = []
-        for words in own.column("words"):
-            which = np.array([number[w] for w in words.as_py().split(" ")], np.int64)
-            out.append((taken(flat, np.cumsum(n) - n, n, which).tobytes(), n[which].astype(np.int32).tobytes()))
-        return pa.table([own.column("block"), own.column("part"), pa.array([i for i, _ in out], pa.binary()), pa.array([k for _, k in out], pa.binary())], names=["block", "part", "ids", "sizes"])
+        number, ids, sizes = {}, [], []
+        for words, packed_ids, packed_sizes in zip(*(coded.column(c).to_pylist() for c in ("words", "ids", "sizes")), strict=True):
+            words = words.split(" ")
+            number.update(zip(words, range(len(number), len(number) + len(words)), strict=True))
+            sizes.append(decompressed(packed_sizes, len(words)))
+            ids.append(decompressed(packed_ids, int(sizes[-1].sum())))
+        flat, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (ids, sizes))
+        start, out = np.cumsum(n) - n, []
+        for block, part, words in zip(*(own.column(c).to_pylist() for c in ("block", "part", "words")), strict=True):
+            which = np.array([number[w] for w in words.split(" ")], np.int64)
+            out.append((block, part, len(which), compressed(taken(flat, start, n, which)), compressed(n[which])))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names_of(CODED))
 
     back = units.groupBy("grp", "part").cogroup(coded.groupBy("grp", "part")).applyInArrow(look_up, CODED)
     texts = blocks(docs, pieces, block_chars, parts, groups, False)
 
     def block(rows: pa.Table) -> pa.Table:
         kept = rows.filter(pc.is_valid(rows.column("ids"))).sort_by("part")
-        flat, n = (np.frombuffer(b"".join(kept.column(c).to_pylist()), kind) for c, kind in (("ids", np.uint16), ("sizes", np.int32)))
-        n = n.astype(np.int64)
+        sizes = [decompressed(s, k) for s, k in zip(kept.column("sizes").to_pylist(), kept.column("n").to_pylist(), strict=True)]
+        ids = [decompressed(i, int(s.sum())) for i, s in zip(kept.column("ids").to_pylist(), sizes, strict=True)]
+        flat, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (ids, sizes))
         docs_, numbers, names = (rows.column(c).drop_null()[0].as_py() for c in ("docs", "numbers", "names"))
         own = pa.ipc.open_stream(docs_).read_all()
         size = own.column("n").to_numpy()
         units = decompressed(names, len(n))[decompressed(numbers, int(size.sum()))]
         ids = taken(flat, np.cumsum(n) - n, n, units)
         ends = np.concatenate(([0], np.cumsum(n[units])))[np.concatenate(([0], np.cumsum(size)))]
-        decoded = pa.array(spelled, pa.binary()).take(pa.array(ids))
+        decoded = pa.array(spelled, pa.binary()).take(pa.array(ids.astype(np.uint16)))
         at, data = np.frombuffer(decoded.buffers()[1], np.int32)[: len(ids) + 1], memoryview(decoded.buffers()[2] or b"")
         # Without the space that every text begins with.
         hashes = [hashlib.sha256(data[a + 1 : b]).digest() for a, b in zip(at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True)]
