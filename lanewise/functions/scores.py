@@ -148,7 +148,7 @@ def trifecta_rank(scores: Column, ranks: Column) -> Column:
     return let(F.slice(true_order(ranks), 1, 3), lambda t: F.array_position(F.transform(exotics(scores, 3), lambda x: x["lanes"]), t).cast("int"))
 
 
-def full_order_ranks(df: DataFrame, batch: int = 10_000) -> DataFrame:
+def full_order_ranks(df: DataFrame, batch: int = 256) -> DataFrame:
     """race_key, order_rank and set_rank among the 720 full orders, by numpy within tasks.
 
     order_rank: place of the true order by probability, ties in lexicographic order; set_rank: the best place of an
@@ -222,7 +222,8 @@ def with_lane_bias(scores: Column, lanes: list[int], bias: float) -> Column:
 
 def with_noise(scores: Column, key: Column, scale: float, seed: int) -> Column:
     """Adds N(0, scale) drawn from a hash of key, lane and seed, the same in any partitioning (Box-Muller)."""
-    unit = lambda i, k: (F.shiftrightunsigned(F.xxhash64(key, i, F.lit(seed), F.lit(k)), 11) + 0.5) / float(1 << 53)
+    text = lambda i, k: F.concat_ws("|", key, (i + 1).cast("string"), F.lit(str(seed)), F.lit(str(k)))
+    unit = lambda i, k: (F.conv(F.left(F.md5(text(i, k).cast("binary")), F.lit(12)), 16, 10).cast("double") + 0.5) / float(1 << 48)
     return F.transform(scores, lambda s, i: s + scale * F.sqrt(-2 * F.ln(unit(i, 0))) * F.cos(2 * float(np.pi) * unit(i, 1)))
 
 

@@ -16,10 +16,8 @@ def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
 
 
 def latest(df: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> DataFrame:
-    """The row of the greatest sequence for each key, by one hash aggregate without a sort of the rows."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*sequence)).alias("_r"))
-    return best.select(*keys, "_r.*").select(*df.columns)
+    """The row of the greatest sequence for each key: a window that Spark also limits to one row a key before the shuffle."""
+    return pick_one(df, keys, [F.col(c).desc() for c in sequence])
 
 
 def insert_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> DataFrame:
@@ -43,6 +41,19 @@ def results(raw: DataFrame, sequence: Sequence[str]) -> DataFrame:
     return latest(conformed, ["race_key", "lane"], sequence).select("race_key", "lane", "rank", "winning_method", "win_pattern")
 
 
+def entrants(raw: DataFrame, sequence: Sequence[str]) -> DataFrame:
+    """boat_info and results side by side, from one choice of the latest load of each entrant."""
+    both = raw.withColumns({"rank": C.rank_of(F.col("finish_order")), "win_pattern": C.win_pattern(F.col("winning_method"))})
+    return boat_info(both, sequence).drop("finish_order")
+
+
+def conform_races(race: DataFrame, event: DataFrame, venue: DataFrame) -> DataFrame:
+    """Races with their event's date and venue and a race key: race(event_id, race_no, ..), event(event_id, venue_id,
+    event_date), venue(venue_id, name). Venues are few, events one a venue and day; Spark picks the joins by size."""
+    keyed = race.join(event.select("event_id", "venue_id", F.col("event_date").alias("race_date")), "event_id").join(venue.select("venue_id", F.col("name").alias("venue")), "venue_id")
+    return keyed.withColumn("race_key", C.race_key(F.col("race_date"), F.col("race_no"), F.col("venue"))).drop("event_id", "venue_id")
+
+
 def boat_info(raw: DataFrame, sequence: Sequence[str], programs: DataFrame | None = None) -> DataFrame:
     """Entrant columns with the false-start flag and signed start; weight comes from the programme where one is given."""
     base = latest(raw, ["race_key", "lane"], sequence).withColumns({"fs_flag": F.col("status") == "F", "st_time": C.signed_start(F.col("start_timing"), F.col("status"))})

@@ -125,6 +125,26 @@ def null_report(df: DataFrame) -> DataFrame:
     return counts.unpivot("_n", df.columns, "column", "nulls").select("column", (F.col("nulls") / F.col("_n")).alias("null_ratio"), "nulls").orderBy(F.desc("null_ratio"), "column")
 
 
+def without_columns(df: DataFrame, unused: list[str]) -> DataFrame:
+    """df without the unused lane columns (a name stands for lane1_name to lane6_name); absent ones are ignored."""
+    return df.drop(*unused, *(f"lane{i}_{c}" for c in unused for i in LANES))
+
+
+def stack_reports(parts: list[DataFrame], columns: list[str]) -> DataFrame:
+    """All rows of the parts with exactly these columns in this order; absent ones are null."""
+    first, *rest = parts
+    for p in rest:
+        first = first.unionByName(p, allowMissingColumns=True)
+    return first.select(*(F.col(c) if c in first.columns else F.lit(None).alias(c) for c in columns))
+
+
+def join_scores(scores: DataFrame, odds: DataFrame, environment: DataFrame, pl: DataFrame, sequence: list[str]) -> DataFrame:
+    """Scores with the odds, the environment (its last row a race by sequence) and the Plackett-Luce features of their
+    race, each null where a race has none. All four meet on race_key, so they are shuffled once each."""
+    from .core import latest
+
+    last = latest(environment, ["race_key"], sequence).drop(*(c for c in sequence if c != "race_key"))
+    return scores.join(odds, "race_key", "left").join(last, "race_key", "left").join(pl, "race_key", "left")
 
 
 class Registry:
@@ -137,6 +157,9 @@ class Registry:
         self.features[name] = (column, needs, dtype)
 
     def apply(self, df: DataFrame, include: list[str] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
-        """df with the chosen features whose inputs it has, in one projection."""
-        names = [n for n in (include or self.features) if n not in exclude]
-        return df.withColumns({n: self.features[n][0].cast(self.features[n][2]) for n in names if set(self.features[n][1]) <= set(df.columns)})
+        """df with the chosen features whose inputs it has; a feature may need others, which come in a projection before."""
+        left = [n for n in (include or self.features) if n not in exclude]
+        while ready := [n for n in left if set(self.features[n][1]) <= set(df.columns)]:
+            df = df.withColumns({n: self.features[n][0].cast(self.features[n][2]) for n in ready})
+            left = [n for n in left if n not in ready]
+        return df

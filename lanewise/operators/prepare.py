@@ -57,6 +57,25 @@ def course_deviation(lane: Column, course: Column) -> tuple[Column, Column]:
     return (lane - course) / 5.0, (lane != course).cast("double")
 
 
+def frame_stats(wide: DataFrame) -> DataFrame:
+    """The env_stats of model_inputs: one row of means and population deviations (1 where it is 0) of the environment
+    and of the weight over all lanes together; temperatures that are always null have neither."""
+    env = ("wind_speed", "wave_height", "air_temp", "water_temp")
+    lanes = [f"lane{i}_weight" for i in range(1, 7) if f"lane{i}_weight" in wide.columns]
+    rows = wide.select(*(F.col(c).cast("double").alias(c) for c in env), F.array(*(F.col(c).cast("double") for c in lanes)).alias("_w"))
+    # Sums over the lanes in the row, so that the pooled weight costs no more rows.
+    known = lambda f: F.sum(F.aggregate(F.filter("_w", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + f(x)))
+    out = fit_sums(rows, env, known)
+    mean = F.col("_s") / F.nullif(F.col("_c"), F.lit(0.0))
+    spread = F.sqrt(F.greatest(F.col("_q") / F.nullif(F.col("_c"), F.lit(0.0)) - mean * mean, F.lit(0.0)))
+    return out.withColumns({"weight_mean": mean, "weight_std": F.when(spread > 0, spread).when(spread.isNotNull(), F.lit(1.0))}).drop("_s", "_q", "_c")
+
+
+def fit_sums(rows: DataFrame, env: Sequence[str], known) -> DataFrame:
+    stats = [x for c in env for x in (F.avg(c).alias(f"{c}_mean"), F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).when(F.stddev_pop(c).isNotNull(), F.lit(1.0)).alias(f"{c}_std"))]
+    return rows.agg(*stats, known(lambda x: x).alias("_s"), known(lambda x: x * x).alias("_q"), known(lambda x: F.lit(1.0)).alias("_c"))
+
+
 def model_inputs(wide: DataFrame, env_stats: DataFrame) -> DataFrame:
     """race_key, ctx[6], boats[6][D], ranks[6], st[6], mask[6]; groups of boat columns that wide lacks are left out.
 

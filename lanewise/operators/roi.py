@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import conform as C
+from .core import latest
 from .prepare import quantile_bin, quantile_edges
 
 TOP_N = (1, 2, 3, 4, 5)
@@ -20,7 +21,8 @@ LEAST_RACES, LEAST_RACES_VENUE = 30, 50
 
 
 def one_per_race(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates(["race_key"])
+    """One row a race: of several, the greatest by all other columns in their order."""
+    return latest(df, ["race_key"], [c for c in df.columns if c != "race_key"])
 
 
 def hit(n: int | Column) -> Column:

@@ -87,6 +87,20 @@ def prediction_report(predicted: DataFrame, true: DataFrame, threshold: float) -
     return both.withColumns({"hit_exact": F.col("tri") == F.col("official_tri"), "hit_set": S.hit_texts(F.col("tri"), F.col("official_tri")), "over": F.when(F.col("prob") > threshold, F.lit(True))})
 
 
+def hits_only(df: DataFrame) -> DataFrame:
+    return df.where("hit")
+
+
+def sent_on(df: DataFrame, day: str) -> DataFrame:
+    """Sent signals of a day (yyyyMMdd)."""
+    return df.where((F.col("hd") == day) & F.col("sent"))
+
+
+def after_day(df: DataFrame, day: str) -> DataFrame:
+    """Pages or signals of later days (yyyyMMdd)."""
+    return df.where(F.col("hd") > day)
+
+
 def latest_per_race(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("jcd", "hd", "rno").orderBy(F.desc("ts"))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

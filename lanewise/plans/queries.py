@@ -10,9 +10,7 @@ from ..functions import scores as S
 from ..operators import core, features, metrics, prepare, roi, signals
 from ..sources import pages
 from . import standins as X
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .registry import ORACLES, QUERIES, query  # noqa: F401 - named here for callers
 
 RACES = """races as (select cast(o_orderkey as varchar) race_key, cast(o_orderdate as date) race_date, n_name venue, cast(o_orderkey % 12 + 1 as integer) race_no,
   cast(o_orderkey % 11 as integer) wind_speed_m, cast(o_orderkey % 13 as integer) wave_height_cm, (o_orderkey % 16) * 22.5::double wind_dir_deg, o_totalprice payout_yen, cast(o_custkey % 120 + 1 as integer) popularity_rank, o_orderkey k
@@ -37,28 +35,10 @@ near as (select * from t where ts between strptime(hd, '%Y%m%d') + interval 18 h
 lim as (select * from (values ('01', 0.20, 0.30), ('07', 0.16, 0.28), ('12', 0.116, 0.20), ('15', 0.35, 0.45), ('19', 0.27, 0.40), ('20', 0.22, 0.25), ('24', 0.15, 0.22)) v(jcd, threshold, max_prob))"""
 
 
-def query(sql: str | None = None):
-    """Register a function of (spark, sf_dir) under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def entrants(spark: SparkSession, sf: str) -> DataFrame:
-    raw = X.entrants_raw(spark, sf)
-    found = core.results(raw, X.SEQUENCE)
-    return core.boat_info(raw, X.SEQUENCE).drop("finish_order", "winning_method").join(found, ["race_key", "lane"])
-
-
 def flat(spark: SparkSession, sf: str) -> DataFrame:
-    raw = X.entrants_raw(spark, sf)
-    boats = core.boat_info(raw, X.SEQUENCE).drop("finish_order", "winning_method").withColumn("bf_course", F.col("course"))
-    return features.boat_flat(boats, X.weather(spark, sf), core.results(raw, X.SEQUENCE), core.races(X.races(spark, sf)))
+    """Entrants with rank and boat columns from one dedupe of the raw rows, beside their race's weather."""
+    boats = core.entrants(X.entrants_raw(spark, sf), X.SEQUENCE).withColumn("bf_course", F.col("course"))
+    return features.boat_flat(boats, X.weather(spark, sf), None, core.races(X.races(spark, sf)))
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -357,3 +337,6 @@ def race_best_conditions(spark: SparkSession, sf: str) -> DataFrame:
 @query("with a as (" + ORACLES["race_decile_audit"] + ") select top_n, arg_min(hit_rate, decile) low_hit_rate, arg_min(roi_net, decile) low_roi_net, arg_max(hit_rate, decile) high_hit_rate, arg_max(roi_net, decile) high_roi_net from a group by top_n")
 def race_decile_ends(spark: SparkSession, sf: str) -> DataFrame:
     return roi.decile_ends(race_decile_audit(spark, sf))
+
+
+from . import clean, ingest  # noqa: E402, F401 - they register their queries

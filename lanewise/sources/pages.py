@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import conform as C
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+CELLS, ROWS = {"td", "th"}, {"tr"}
+#: Elements whose end tag may be left out: what a start tag ends, and the elements that it doesn't look beyond.
+ENDS = {
+    "p": ({"p"}, {"div", "td", "th", "li", "table", "body"}), "li": ({"li"}, {"ul", "ol"}), "td": (CELLS, {"tr", "table"}), "th": (CELLS, {"tr", "table"}), "tr": (ROWS, {"table", "tbody", "thead"}),
+    "tbody": ({"tbody", "thead"}, {"table"}), "thead": ({"tbody", "thead"}, {"table"}), "option": ({"option"}, {"select"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+}
 
 
 class Node:
@@ -23,15 +29,20 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.items = tag, attrs, []
 
-    def walk(self) -> Iterator[Node]:
-        for x in self.items:
+    def parts(self) -> Iterator[Node | str]:
+        """All elements and texts below, in document order, whatever the depth."""
+        left = self.items[::-1]
+        while left:
+            x = left.pop()
+            yield x
             if isinstance(x, Node):
-                yield x
-                yield from x.walk()
+                left += x.items[::-1]
+
+    def walk(self) -> Iterator[Node]:
+        return (x for x in self.parts() if isinstance(x, Node))
 
     def text(self) -> str:
-        out = "".join(x if isinstance(x, str) else x.text() for x in self.items)
-        return re.sub(r"[\s　\xa0]+", " ", out).strip()
+        return re.sub(r"[\s　\xa0]+", " ", "".join(x for x in self.parts() if isinstance(x, str))).strip()
 
     def has(self, cls: str) -> bool:
         return cls in (self.attrs.get("class") or "").split()
@@ -44,7 +55,8 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """A forgiving tree of a page; elements that are never closed end with their parent."""
+    """A forgiving tree of a page: an element of ENDS ends where a next one of its kind begins in the same parent, other
+    elements that are never closed end with their parent."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -54,6 +66,14 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in ENDS:
+            kinds, within = ENDS[tag]
+            for i in range(len(self.open) - 1, 0, -1):
+                if self.open[i].tag in within:
+                    break
+                if self.open[i].tag in kinds:
+                    del self.open[i:]
+                    break
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].items.append(node)
         if tag not in VOID:
@@ -178,11 +198,17 @@ def index_page(html: str) -> dict | None:
 
 
 def extract(pages: DataFrame, page: Callable[[str], dict | None], fields: str) -> DataFrame:
-    """path and the fields of every page that has data."""
+    """path and the fields of every page that has data; a page that can't be parsed has none and ends no job."""
+
+    def parsed(html: str | None) -> dict | None:
+        try:
+            return page(html) if html else None
+        except (AssertionError, AttributeError, IndexError, KeyError, TypeError, ValueError):  # whatever odd markup meets
+            return None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"path": f["path"], "page": [page(h) if h else None for h in f["html"]]})
+            yield pd.DataFrame({"path": f["path"], "page": [parsed(h) for h in f["html"]]})
 
     return pages.select("path", "html").mapInPandas(run, f"path string, page struct<{fields}>").where("page is not null").select("path", "page.*")
 

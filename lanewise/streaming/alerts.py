@@ -25,8 +25,9 @@ def first_deadlines(rows: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 class SendOnce(StatefulProcessor):
-    """One decision a race: the first tick over the threshold is emitted as sent and ends the race's state; a race
-    without one emits its last tick when event time passes its deadline."""
+    """One decision a race: the first tick over the threshold is emitted as sent; a race without one emits its last tick
+    when event time passes its deadline. At that time all state of the race is cleared: later ticks in time are behind
+    the watermark and don't come."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -36,7 +37,10 @@ class SendOnce(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if self.done.exists():
             return
-        ticks = pd.concat(list(rows)).sort_values(["ts", "top_trifecta"])
+        frames = list(rows)
+        if not list(self.handle.listTimers()):
+            self.handle.registerTimer(int(frames[0]["close_ts"].iloc[0].timestamp() * 1000))
+        ticks = pd.concat(frames).sort_values(["ts", "top_trifecta"])
         over = ticks[ticks["top_prob"] > ticks["threshold"]]
         if len(over):
             self.done.update((True,))
@@ -46,15 +50,13 @@ class SendOnce(StatefulProcessor):
         end = ticks.iloc[-1]
         if not self.last.exists() or tuple(self.last.get())[0] <= end["ts"]:
             self.last.update((end["ts"], end["top_trifecta"], float(end["top_prob"])))
-        if not list(self.handle.listTimers()):
-            self.handle.registerTimer(int(ticks["close_ts"].iloc[0].timestamp() * 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.done.exists() and self.last.exists():
             ts, tri, prob = self.last.get()
             yield self.row(key, False, {"ts": ts, "top_trifecta": tri, "top_prob": prob})
-            self.done.update((True,))
-            self.last.clear()
+        self.done.clear()
+        self.last.clear()
 
     def row(self, key, sent: bool, tick) -> pd.DataFrame:
         return pd.DataFrame({"jcd": [key[0]], "hd": [key[1]], "rno": [key[2]], "sent": [sent], "ts": [tick["ts"]], "top_trifecta": [tick["top_trifecta"]], "top_prob": [float(tick["top_prob"])]})
