@@ -44,7 +44,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, dtype=np.uint64)
+    return majority(np.array(hashes, dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The signed long whose bits are those that more than half of the hashes have."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):
         counts += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

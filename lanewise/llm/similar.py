@@ -1,11 +1,15 @@
 """Near-dedup by verified similarity: components over pairs of texts with a shingle Jaccard similarity of 0.8 or more.
 
-A SimHash of 64 bits can't stand for that limit: texts of similarity 0.8 differ in about 10 bits on average and many in
-more, and tables that guarantee such a radius are keyed by a few bits only. Candidates come from prefixes instead, which
-lose no pair: in any order of all shingles, two sets of similarity 0.8 share one of their first n - ceil(0.8 n) + 1.
-The order is by the count in a bounded sample, then by hash, so that common passages come last. Every candidate pair is
-verified by the exact similarity of its shingle sets. Of a shingle that very many sets share, all are compared with the
-least of them first; then only those that are still in different components are compared with one another.
+SimHash with pivot distance tables proposes the first pairs: fingerprints of five-word shingles within two bits. It can't
+find all: texts of similarity 0.8 differ in about 10 of 64 bits on average and many in more, and tables that guarantee
+such a radius are keyed by a few bits only. What it leaves apart is proposed by prefixes, which lose no pair: in any
+order of all shingles, two sets of similarity 0.8 share one of their first n - ceil(0.8 n) + 1. The order is by the count
+in a bounded sample, then by hash, so that common passages come last. Of the sets that share a shingle, all are compared
+with the least of them first; then only those that are still in different components are compared with one another.
+
+Two filters that lose nothing come before the exact comparison: sets of similarity 0.8 have sizes within a factor of 0.8,
+and differ in at most a ninth of their sizes' sum, hence in no more bits of MAP_BITS-bit maps of their hashes. Every
+remaining pair is verified by the exact similarity of its shingle sets.
 """
 
 from __future__ import annotations
@@ -15,13 +19,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stage
 from .components import components
+from .simhash import majority, near_links
 
-SHINGLE, SAMPLE_ROWS, COMMON, MOST_PAIRED = 5, 4_000, 50_000, 48
+SHINGLE, SAMPLE_ROWS, COMMON, MAP_BITS = 5, 4_000, 50_000, 1024
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
 
@@ -43,6 +48,20 @@ def name_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).astype(np.int64))
 
 
+def bit_map(hashes: np.ndarray) -> np.ndarray:
+    """MAP_BITS bits as longs, those of the hashes' residues set."""
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[hashes.view(np.uint64) % MAP_BITS] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def may_be_close(x: Column, y: Column) -> Column:
+    """Whether two sets, structs of n and map, can have the similarity by their sizes and maps."""
+    sizes = (F.least(x["n"], y["n"]) * DEN >= F.greatest(x["n"], y["n"]) * NUM)
+    apart = F.aggregate(F.zip_with(x["map"], y["map"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
+    return sizes & (apart * (NUM + DEN) <= (x["n"] + y["n"]) * (DEN - NUM))
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
@@ -88,48 +107,68 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFra
     return both.where(shared * (NUM + DEN) >= (F.size("x") + F.size("y")) * NUM).select("a", "b")
 
 
-def near_texts(docs: DataFrame, most_paired: int = MOST_PAIRED) -> DataFrame:
-    """doc_id and component_id (the least doc_id reachable over pairs of similarity 0.8 or more) of every row.
+def candidate_groups(nodes: DataFrame) -> DataFrame:
+    """xs: the sorted names of sets that share a shingle of their prefixes, each such list once."""
+    shared = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("xs"))
+    return shared.where(F.size("xs") > 1).select("xs").distinct()
+
+
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of sets that SimHash proposes: with equal fingerprints, and with ones that pivot distance tables link."""
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    same = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    links = near_links(least.select("fp"))
+    named = links.join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.unionByName(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+
+
+def close_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) that the filters leave; nodes: node, n and map."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.struct("n", "map").alias(f"_{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_close(F.col("_a"), F.col("_b"))).select("a", "b")
+
+
+def near_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the long columns in carry, component_id (the least doc_id reachable over pairs of similarity 0.8 or more)
+    and label (which names the component, also where doc_ids repeat or are null) of every row.
 
     Null texts are empty; texts with equal shingle sets, also without any, are alike; repeated rows keep a row each; a
     component of null ids alone has a null component_id; other columns are ignored; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     common, counts = common_shingles(docs)
+    schema = ", ".join(["doc_id long", *(f"`{c}` long" for c in carry), "node long, n int, fp long, map array<long>, keys array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py() or b"") for t in b.column("text")]
+            longs = [pa.array(x, pa.int64()) for x in ([name_of(s) for s in sets], [majority(s.view(np.uint64)) for s in sets])]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([bit_map(s) for s in sets], [prefix(s, common, counts) for s in sets])]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, common, counts) for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "node", "n", "keys"],
+                [b.column("doc_id"), *(b.column(c) for c in carry), longs[0], pa.array([len(s) for s in sets], pa.int32()), longs[1], *lists], ["doc_id", *carry, "node", "n", "fp", "map", "keys"],
             )
 
-    rows = stage(texts_of(docs).mapInArrow(run, "doc_id long, node long, n int, keys array<long>"), "similar-rows")
-    nodes = rows.groupBy("node", "n").agg(F.first("keys").alias("keys"))
-    keyed = nodes.select(F.struct("n", "node").alias("x"), F.explode("keys").alias("key"))
-    groups = stage(keyed.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size("xs") > 1).select("xs").distinct(), "similar-groups")
-
-    def paired(xs: DataFrame, other) -> DataFrame:
-        each = xs.select("xs", F.posexplode("xs").alias("i", "x"))
-        return each.select("x", F.explode(F.filter(F.slice("xs", F.col("i") + 2, F.size("xs")), other)).alias("y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-
-    near = lambda y: y["n"] * NUM <= F.col("x.n") * DEN  # noqa: E731 - xs ascend by n
-    few, many = groups.where(F.size("xs") <= most_paired), groups.where(F.size("xs") > most_paired)
-    stars = many.select(F.get("xs", F.lit(0)).alias("x"), F.explode("xs").alias("y")).where((F.col("y.n") * NUM <= F.col("x.n") * DEN) & (F.col("x.node") != F.col("y.node")))
-    pairs = paired(few, near).unionByName(stars.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))).distinct()
-    links = stage(similar_pairs(docs, rows, stage(pairs, "similar-pairs")), "similar-links")
-    if not many.isEmpty():
-        # Members of crowded groups that the links so far leave in different components meet each other.
-        labels = stage(components(links), "similar-labels")
-        member = stage(many.select(F.xxhash64("xs").alias("g"), F.explode("xs").alias("x")), "similar-members")
-        named = member.join(labels, F.col("x.node") == F.col("node"), "left").select("g", F.struct(F.col("x.n").alias("n"), F.col("x.node").alias("node"), F.coalesce("label", F.col("x.node")).alias("label")).alias("x"))
-        split = named.groupBy("g").agg(F.array_sort(F.collect_list("x")).alias("xs")).where(F.size(F.array_distinct(F.transform("xs", lambda x: x["label"]))) > 1)
-        rest = paired(split, lambda y: near(y) & (y["label"] != F.col("x.label"))).distinct()
-        links = stage(links.unionByName(similar_pairs(docs, rows, stage(rest, "similar-rest"))), "similar-all")
+    rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "similar-rows")
+    once = rows.dropDuplicates(["node"])  # rows of one node have equal sets
+    nodes = stage(once.select("node", "n", "fp", "map"), "similar-nodes")
+    groups = stage(candidate_groups(once.select("node", "keys")), "similar-groups")
+    links = stage(similar_pairs(docs, rows, stage(close_pairs(simhash_pairs(nodes), nodes), "similar-first")), "similar-links")
+    labels = lambda: components(links).select(F.col("node").alias("_n"), "label")
+    named = lambda df, k, known: df.join(known, F.col(k) == F.col("_n"), "left").withColumn(f"label_{k}", F.coalesce("label", k)).drop("_n", "label")
+    # Every set with the least of each group, unless they are in one component already.
+    known = stage(labels(), "similar-labels")
+    stars = groups.select(F.get("xs", F.lit(0)).alias("a"), F.explode("xs").alias("b")).where("a <> b").distinct()
+    stars = named(named(stars, "a", known), "b", known).where("label_a <> label_b").select("a", "b")
+    links = stage(links.unionByName(similar_pairs(docs, rows, stage(close_pairs(stars, nodes), "similar-stars"))), "similar-links")
+    # Members of a group that are in different components meet each other, in pairs that pass the filters.
+    known = stage(labels(), "similar-labels")
+    member = named(groups.select(F.xxhash64("xs").alias("g"), F.explode("xs").alias("node")), "node", known).join(nodes.select("node", "n", "map"), "node")
+    each = member.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("n", "node", F.col("label_node").alias("label"), "map"))).alias("xs")).where(F.size(F.array_distinct(F.transform("xs", lambda x: x["label"]))) > 1)
+    other = F.filter(F.slice("xs", F.col("i") + 2, F.size("xs")), lambda y: (y["label"] != F.col("x.label")) & may_be_close(F.col("x"), y))
+    rest = each.select("xs", F.posexplode("xs").alias("i", "x")).select("x", F.explode(other).alias("y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    links = stage(links.unionByName(similar_pairs(docs, rows, stage(rest, "similar-rest"))), "similar-all")
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    labelled = least.join(components(links).select(F.col("node").alias("_n"), "label"), F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = stage(labelled.select("node", "label", "least"), "similar-named")
+    labelled = stage(named(least, "node", labels()).select("node", F.col("label_node").alias("label"), "least"), "similar-named")
     best = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = stage(labelled.join(best, "label").select("node", "component_id"), "similar-components")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    found = stage(labelled.join(best, "label").select("node", "label", "component_id"), "similar-components")
+    return rows.select("doc_id", *carry, "node").join(found, "node").select("doc_id", *carry, "component_id", "label")

@@ -2,8 +2,6 @@
 
 import random
 
-import pytest
-
 from lanewise.llm import similar
 from lanewise.llm.common import table
 
@@ -50,11 +48,10 @@ def planted():
     return out | {len(out): "", len(out) + 1: " \n", len(out) + 2: "one two"}
 
 
-@pytest.mark.parametrize("most", [3, 48])
-def test_planted(spark, most):
+def test_planted(spark):
     texts = planted()
     want, pairs = brute(texts)
-    got = {r.doc_id: r.component_id for r in similar.near_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), most).collect()}
+    got = {r.doc_id: r.component_id for r in similar.near_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert pairs > 100 and got == want
 
 
@@ -71,3 +68,15 @@ def test_odd(odd, none):
     rows = {r.doc_id: r for r in similar.near_texts(odd).collect()}
     assert rows[2].component_id == 1 and rows[7].component_id == 6 and rows[3].component_id == rows[4].component_id == rows[5].component_id == 3
     assert similar.near_texts(odd).count() == odd.count() and similar.near_texts(none).count() == 0
+
+
+def test_rows_without_ids_and_repeated_rows(spark):
+    """One row of each group stays, whatever its id: copies without an id, equal ids of different texts, repeated rows."""
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (None, a), (None, b), (1, a), (1, b), (None, None), (9, ""), (3, b + " tail")]
+    docs = spark.createDataFrame([(d, t, "en", "src1", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted((r.doc_id, (r.text or "")[:1]) for r in kept) == [(1, "a"), (1, "b"), (9, "")]
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
