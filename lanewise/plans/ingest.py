@@ -295,7 +295,7 @@ def race_stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
     ticks, closing = X.ticks(spark, sf)
     spark.conf.set(key, rocks)
     try:
-        out = drained(spark, alerts.send_once_stream(as_stream(spark, ticks.withColumn("ts", F.col("ts").cast("timestamp")), "ticks"), closing, signals.thresholds(spark)), "alerts")
+        out = drained(spark, alerts.send_once_stream(as_stream(spark, ticks.withColumn("ts", F.col("ts").cast("timestamp")), "ticks"), closing, signals.thresholds(spark), minutes=120), "alerts")
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return out.withColumn("top_prob", F.round("top_prob", 6))

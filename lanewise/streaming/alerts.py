@@ -65,9 +65,9 @@ class SendOnce(StatefulProcessor):
         pass
 
 
-def send_once_stream(ticks: DataFrame, closing: DataFrame, limits: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def send_once_stream(ticks: DataFrame, closing: DataFrame, limits: DataFrame, delay: str = "10 minutes", minutes: int = G.MINUTES) -> DataFrame:
     """Streaming form of signals.in_time and signals.send_once; closing and limits are static."""
-    near = G.in_time(ticks.withWatermark("ts", delay), closing).join(limits, "jcd", "left")
+    near = G.in_time(ticks.withWatermark("ts", delay), closing, minutes).join(limits, "jcd", "left")
     return near.groupBy(*KEY).transformWithStateInPandas(SendOnce(), SENT, "Append", "EventTime")
 
 
