@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table
 
 LABELS, FOLDS, SAMPLE_ROWS, MOST_TERMS, PREFIX = ("toxic", "low_quality"), 4, 20_000, 20_000, 5
-#: In the chain's order. severe: toxic, with a share of marker words above the median of toxic rows; junk_abuse: toxic
-#: and of low quality.
-CATEGORIES = ("toxic", "severe", "junk_abuse")
-MARKER, THRESHOLD, RIDGE = 2.0, 0.5, 1.0
+#: In the chain's order, all from the two labels: toxic, toxic prose of fair quality, and toxic junk of low quality.
+CATEGORIES = ("toxic", "prose_abuse", "junk_abuse")
+MARKER, RIDGE = 2.0, 1.0
+#: A toxic document that stays counts as much as three clean ones that go.
+COST = 3
+THRESHOLD = 1 / (1 + COST)
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -94,7 +96,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), (1 - F.coalesce(F.min("quality"), F.lit(1))).cast("int").alias("low_quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))  # at most `rows` rows are broadcast
+    # Repeated rows of an id are one training row, so that the bound holds.
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "low_quality").agg(F.min("text").alias("text"))
+    return found.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))  # at most `rows` rows are broadcast
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -161,9 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, mo
     rows.sort(key=lambda r: (r.doc_id, r.x))
     x, fold = np.array([r.x for r in rows]), np.array([r.fold for r in rows])
     toxic, low = np.array([r.toxic for r in rows]), np.array([r.low_quality for r in rows])
-    share = x[:, 3]
-    usual = np.median(share[toxic == 1]) if toxic.any() else np.inf
-    targets = [toxic, toxic * (share > usual), toxic * low]
+    targets = [toxic, toxic * (1 - low), toxic * low]
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z, weights = (x - mean) / scale, []
     for y in targets:
