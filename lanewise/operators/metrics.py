@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .prepare import values_at
 
 
 def per_race(df: DataFrame) -> DataFrame:
@@ -26,7 +27,9 @@ def per_race(df: DataFrame) -> DataFrame:
 def quality(df: DataFrame) -> DataFrame:
     """One row: races, position and set hit rates, constant 1-2-3 baselines, MRR, Spearman, score spread, mean ranks."""
     names = ["hit1", "hit2", "hit3", "trifecta_hit", "trio_hit", "base1", "base2", "base3", "base_trifecta", "base_trio", "mrr", "spearman", "set_rank", "trifecta_rank"]
-    return per_race(df).agg(F.count("*").alias("n_races"), *(F.avg(c).alias(c) for c in names), F.avg("spread").alias("spread_mean"), F.expr("percentile_disc(0.5) within group (order by spread)").alias("spread_median"))
+    races = per_race(df)
+    lower = values_at(races, "spread", lambda n: F.array(F.ceil(n / 2) - 1)).select(F.get("values", F.lit(0)).alias("spread_median"))
+    return races.agg(F.count("*").alias("n_races"), *(F.avg(c).alias(c) for c in names), F.avg("spread").alias("spread_mean")).join(lower, F.lit(True), "left")  # one row each
 
 
 def model_vs_market(races: DataFrame, market: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ def model_vs_market(races: DataFrame, market: DataFrame) -> DataFrame:
     both = races.join(market, "race_key").where("trifecta_rank is not null and popularity_rank is not null").withColumn("gain", F.col("popularity_rank") - F.col("trifecta_rank"))
     cover = lambda c, k: F.avg((F.col(c) <= k).cast("double"))
     return both.agg(
-        F.count("*").alias("n_races"), F.avg("popularity_rank").alias("market_rank"), F.avg("trifecta_rank").alias("model_rank"), F.avg("gain").alias("gain_mean"), F.median("gain").alias("gain_median"),
+        F.count("*").alias("n_races"), F.avg("popularity_rank").alias("market_rank"), F.avg("trifecta_rank").alias("model_rank"), F.avg("gain").alias("gain_mean"), F.median("gain").alias("gain_median"),  # whole numbers within a few hundred: few distinct values
         F.avg((F.col("gain") > 0).cast("double")).alias("beat_rate"), *(x for k in (1, 3) for x in (cover("trifecta_rank", k).alias(f"model_top{k}"), cover("popularity_rank", k).alias(f"market_top{k}"), (cover("trifecta_rank", k) - cover("popularity_rank", k)).alias(f"top{k}_difference"))),
     )
 

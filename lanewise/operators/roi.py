@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import conform as C
 from .core import latest
-from .prepare import quantile_bin, quantile_edges
+from .prepare import quantile_bin, quantile_edges, values_at
 
 TOP_N = (1, 2, 3, 4, 5)
 CONDITIONS = ("pl_prob_bin", "gap_bin", "wind_bin", "wave_bin", "tailwind", "venue")
@@ -70,7 +70,7 @@ def enough() -> Column:
 def condition_report(df: DataFrame, q: int = 4) -> DataFrame:
     """The summary over all races whose rank, odds and bin are known, best return first."""
     known = one_per_race(df).where("race_key is not null and true_order_rank is not null and trifecta_odds is not null")
-    edges = known.agg(F.array_distinct(F.percentile("pl_prob", F.array(*(F.lit(i / q) for i in range(q + 1))))).alias("_p"), F.array_distinct(F.percentile("gap", F.array(*(F.lit(i / q) for i in range(q + 1))))).alias("_g"))
+    edges = quantile_edges(known, "pl_prob", q).withColumnRenamed("edges", "_p").crossJoin(quantile_edges(known, "gap", q).withColumnRenamed("edges", "_g"))  # one row
     binned = known.crossJoin(F.broadcast(edges)).withColumns({**fixed_bins(), "pl_prob_bin": quantile_bin(F.col("pl_prob"), F.col("_p")), "gap_bin": quantile_bin(F.col("gap"), F.col("_g"))})
     return summarise(as_conditions(binned, ["race_key", "true_order_rank", "trifecta_odds"])).where(enough()).orderBy(F.desc("roi_net"), F.desc("hit_rate"), "condition", "label", "top_n")
 
@@ -87,6 +87,20 @@ def matching(races: DataFrame, chosen: DataFrame, by: Sequence[str] = ()) -> Dat
     return races.join(chosen.select(*by, "top_n", "condition", "label"), [*by, "condition", "label"])
 
 
+def windows_of(races: DataFrame, span: DataFrame, tune_days: int, test_days: int) -> DataFrame:
+    """races with a row for each window and role (tune, test) of their day, by arithmetic; span: one row of days a and b."""
+    day = F.datediff("race_date", "a")
+    last = F.floor((F.datediff("b", "a") - tune_days) / test_days)  # of the windows that start by the last day
+    test_at = F.floor((day - tune_days) / test_days)
+    # Tune days of window k: k * test_days <= day < k * test_days + tune_days.
+    first_tune, last_tune = F.greatest(F.lit(0), test_at + 1), F.least(last, F.floor(day / test_days))
+    box = lambda k, tune: F.struct(k.cast("int").alias("window"), F.lit(tune).alias("is_tune"))
+    nothing = F.expr("cast(array() as array<struct<window:int,is_tune:boolean>>)")
+    tunes = F.when(first_tune <= last_tune, F.transform(F.sequence(first_tune, last_tune), lambda k: box(k, True))).otherwise(nothing)
+    tests = F.when((test_at >= 0) & (test_at <= last), F.array(box(test_at, False))).otherwise(nothing)
+    return races.crossJoin(F.broadcast(span)).select(*races.columns, F.explode(F.concat(tunes, tests)).alias("_r")).select(*races.columns, "_r.*")
+
+
 def walk_forward(df: DataFrame, tune_days: int = 120, test_days: int = 30, least_tune: int = 50, least_test: int = 10, q: int = 4, least_hits: int = 3) -> DataFrame:
     """For each window and top_n: the condition chosen on the tune days and what it returns on the test days.
 
@@ -96,34 +110,23 @@ def walk_forward(df: DataFrame, tune_days: int = 120, test_days: int = 30, least
     rates. Races need a key and a rank; tune races odds too, while a missing odds of a test hit pays nothing.
     """
     races = one_per_race(df).where("race_key is not null and race_date is not null")
-    span = races.agg(F.min("race_date").alias("_min"), F.max("race_date").alias("_max"))
-    day = F.datediff("race_date", "_min")
-    last = F.floor((F.datediff("_max", "_min") - tune_days) / test_days)  # of the windows that start by the last day
-    test_at = F.floor((day - tune_days) / test_days)
-    # Tune days of window k: k * test_days <= day < k * test_days + tune_days.
-    first_tune = F.greatest(F.lit(0), F.floor((day - tune_days) / test_days) + 1)
-    last_tune = F.least(last, F.floor(day / test_days))
-    roles = F.concat(
-        F.when(first_tune <= last_tune, F.transform(F.sequence(first_tune, last_tune), lambda k: F.struct(k.cast("int").alias("window"), F.lit("tune").alias("role")))).otherwise(F.expr("cast(array() as array<struct<window:int,role:string>>)")),
-        F.when((test_at >= 0) & (test_at <= last), F.array(F.struct(test_at.cast("int").alias("window"), F.lit("test").alias("role")))).otherwise(F.expr("cast(array() as array<struct<window:int,role:string>>)")),
-    )
-    placed = races.crossJoin(F.broadcast(span)).withColumn("_r", F.explode(roles)).select(*races.columns, "_r.window", "_r.role")
-    sizes = placed.groupBy("window").agg(F.count_if(F.col("role") == "tune").alias("_t"), F.count_if(F.col("role") == "test").alias("_e")).where((F.col("_t") >= least_tune) & (F.col("_e") >= least_test)).select("window")
-    placed = placed.join(sizes, "window")
-    tune = placed.where("role = 'tune' and true_order_rank is not null and trifecta_odds is not null")
-    edges = quantile_edges(tune, "pl_prob", q, ["window"]).withColumnRenamed("edges", "_p").join(quantile_edges(tune, "gap", q, ["window"]).withColumnRenamed("edges", "_g"), "window")
-    keep = ["window", "race_key", "true_order_rank", "trifecta_odds"]
-
-    def long(part: DataFrame) -> DataFrame:
-        binned = part.join(edges, "window").withColumns({**fixed_bins(), "pl_prob_bin": quantile_bin(F.col("pl_prob"), F.col("_p")), "gap_bin": quantile_bin(F.col("gap"), F.col("_g"))})
-        return as_conditions(binned, keep)
-
-    report = summarise(long(tune), ["window"]).where(enough())
+    placed = windows_of(races, df.where("race_key is not null").agg(F.min("race_date").alias("a"), F.max("race_date").alias("b")), tune_days, test_days)
+    placed = placed.withColumn("tuned", F.col("is_tune") & F.col("true_order_rank").isNotNull() & F.col("trifecta_odds").isNotNull())
+    sizes = placed.groupBy("window").agg(F.count_if("is_tune").alias("_t"), F.count_if(~F.col("is_tune")).alias("_e")).where((F.col("_t") >= least_tune) & (F.col("_e") >= least_test)).select("window")
+    tune = placed.where("tuned")
+    edges = quantile_edges(tune, "pl_prob", q, ["window"]).withColumnRenamed("edges", "_p").join(quantile_edges(tune, "gap", q, ["window"]).withColumnRenamed("edges", "_g"), "window").join(sizes, "window")
+    binned = placed.join(edges, "window").withColumns({**fixed_bins(), "pl_prob_bin": quantile_bin(F.col("pl_prob"), F.col("_p")), "gap_bin": quantile_bin(F.col("gap"), F.col("_g"))})
+    # One pass: the tune and the test sums of a condition's bin stand in one row.
+    long = as_conditions(binned, ["window", "is_tune", "tuned", "true_order_rank", "trifecta_odds"])
+    sides = {"": F.col("tuned"), "e": ~F.col("is_tune")}
+    sums = [x for s, of in sides.items() for n in TOP_N for x in (F.count_if(of & hit(n)).alias(f"h{s}{n}"), F.sum(F.when(of & hit(n), F.coalesce("trifecta_odds", F.lit(0.0))).otherwise(0.0)).alias(f"r{s}{n}"))]
+    wide = long.groupBy("window", "condition", "label", "low", "high").agg(*(F.count_if(of).alias(f"n{s}") for s, of in sides.items()), *sums)
+    box = lambda n: F.struct(F.lit(n).alias("top_n"), F.col(f"h{n}").alias("h"), F.col(f"r{n}").alias("r"), F.col(f"he{n}").alias("n_hits"), F.col(f"re{n}").alias("total_return"))
+    rows = wide.select("window", "condition", "label", "low", "high", F.col("n").alias("tune_races"), F.col("ne").alias("_races"), F.inline(F.array(*map(box, TOP_N)))).withColumn("n_races", F.col("tune_races"))
+    report = rows.where(enough()).withColumns({"roi_net": (F.col("r") - F.col("top_n") * F.col("n_races")) / (F.col("top_n") * F.col("n_races")), "hit_rate": F.col("h") / F.col("n_races")})
     several = report.withColumn("_bins", F.count("*").over(Window.partitionBy("window", "top_n", "condition"))).where("_bins > 1")
-    chosen = best_conditions(several.where(F.col("roi_net").isNotNull() & (F.col("n_hits") >= least_hits)), ["window", "top_n"]).select("window", "top_n", "condition", "label", "low", "high", F.col("roi_net").alias("tune_roi"), F.col("n_races").alias("tune_races"))
-    met = matching(long(placed.where("role = 'test'")), chosen, ["window"])
-    tested = met.groupBy("window", "top_n").agg(F.count("*").alias("n_races"), F.sum(hit(F.col("top_n")).cast("int")).alias("n_hits"), F.sum(F.when(hit(F.col("top_n")), F.coalesce("trifecta_odds", F.lit(0.0))).otherwise(0.0)).alias("total_return"))
-    out = chosen.join(tested, ["window", "top_n"], "left").na.fill({"n_races": 0, "n_hits": 0, "total_return": 0.0}).withColumn("total_cost", F.col("n_races") * F.col("top_n"))
+    chosen = best_conditions(several.where(F.col("roi_net").isNotNull() & (F.col("h") >= least_hits)), ["window", "top_n"])
+    out = chosen.select("window", "top_n", "condition", "label", "low", "high", F.col("roi_net").alias("tune_roi"), "tune_races", F.col("_races").alias("n_races"), "n_hits", "total_return").withColumn("total_cost", F.col("n_races") * F.col("top_n"))
     return out.withColumns({"hit_rate": F.col("n_hits") / F.nullif(F.col("n_races"), F.lit(0)), "roi_net": (F.col("total_return") - F.col("total_cost")) / F.nullif(F.col("total_cost"), F.lit(0))})
 
 
@@ -138,7 +141,8 @@ def decile_audit(df: DataFrame, q: int = 10, tops: Sequence[int] = (1, 2, 3, 5))
     edges = quantile_edges(known, "pl_prob", q)
     binned = known.crossJoin(F.broadcast(edges)).withColumn("decile", quantile_bin(F.col("pl_prob"), F.col("edges"))["id"])
     sums = [x for n in tops for x in (F.sum(hit(n).cast("int")).alias(f"h{n}"), F.sum(F.when(hit(n), F.col("trifecta_odds")).otherwise(0.0)).alias(f"r{n}"))]
-    wide = binned.groupBy("decile").agg(F.count("*").alias("n_races"), F.avg("pl_prob").alias("prob_mean"), F.median("pl_prob").alias("prob_median"), *sums)
+    medians = values_at(binned, "pl_prob", lambda n: F.array((n - 1) / 2), ["decile"]).select("decile", F.get("values", F.lit(0)).alias("prob_median"))
+    wide = binned.groupBy("decile").agg(F.count("*").alias("n_races"), F.avg("pl_prob").alias("prob_mean"), *sums).join(medians, "decile")
     rows = wide.select("decile", "n_races", "prob_mean", "prob_median", F.inline(F.array(*(F.struct(F.lit(n).alias("top_n"), F.col(f"h{n}").alias("n_hits"), F.col(f"r{n}").alias("total_return")) for n in tops))))
     w = Window.partitionBy("top_n")
     return rows.withColumns({"hit_rate": F.col("n_hits") / F.col("n_races"), "total_cost": F.col("top_n") * F.col("n_races")}).withColumns({

@@ -173,9 +173,13 @@ def race_true_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return X.scored(spark, sf).select("race_key", S.set_rank(s, r).alias("set_rank"), S.trifecta_rank(s, r).alias("trifecta_rank"))
 
 
-@query()
+@query(SCORED + ", " + """p6 as (select a.race_key, a.lane l1, b.lane l2, c.lane l3, d.lane l4, e.lane l5, f.lane l6, [a.rank, b.rank, c.rank, d.rank, e.rank, f.rank] rs,
+  round(ln(a.es) - ln(a.es + b.es + c.es + d.es + e.es + f.es) + ln(b.es) - ln(b.es + c.es + d.es + e.es + f.es) + ln(c.es) - ln(c.es + d.es + e.es + f.es) + ln(d.es) - ln(d.es + e.es + f.es) + ln(e.es) - ln(e.es + f.es), 12) lp
+  from lr a join lr b on a.race_key = b.race_key and b.lane <> a.lane join lr c on a.race_key = c.race_key and c.lane not in (a.lane, b.lane) join lr d on a.race_key = d.race_key and d.lane not in (a.lane, b.lane, c.lane) join lr e on a.race_key = e.race_key and e.lane not in (a.lane, b.lane, c.lane, d.lane) join lr f on a.race_key = f.race_key and f.lane not in (a.lane, b.lane, c.lane, d.lane, e.lane)),
+ n6 as (select race_key, rs, row_number() over (partition by race_key order by lp desc, l1, l2, l3, l4, l5, l6) n from p6)
+select race_key, min(n) filter (where rs = [1, 2, 3, 4, 5, 6])::integer order_rank, min(n) filter (where list_sort(rs[1:3]) = [1, 2, 3])::integer set_rank from n6 group by race_key""")
 def race_full_order_ranks(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranks among the 720 full orders; held against brute force in the tests."""
+    """Ranks among the 720 full orders."""
     return S.full_order_ranks(X.scored(spark, sf))
 
 
@@ -220,11 +224,24 @@ def race_conditions(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("condition", "label", "top_n", "n_races", F.col("n_hits").cast("long").alias("n_hits"), F.round("hit_rate", 6).alias("hit_rate"), F.round("roi_net", 5).alias("roi_net"))
 
 
-@query()
+_WALK = BETS + ", " + """span as (select min(race_date) a, max(race_date) b from bets), win as (select k::integer w, a + (120 + 30 * k)::integer t0 from span, range(0, 1000) r(k) where a + (120 + 30 * k)::integer <= b),
+placed as (select w, true tune, bets.* from bets join win on race_date >= t0 - 120 and race_date < t0 union all select w, false, bets.* from bets join win on race_date >= t0 and race_date < t0 + 30),
+fit as (select w from placed group by w having count(*) filter (where tune) >= 50 and count(*) filter (where not tune) >= 10),
+e as (select w, quantile_cont(pl_prob, [0, 0.25, 0.5, 0.75, 1.0]) pe, quantile_cont(gap, [0, 0.25, 0.5, 0.75, 1.0]) ge from placed where tune and trifecta_odds is not null group by w),
+b as (select p.*, case when len(list_distinct(pe)) > 1 and pl_prob between pe[1] and pe[5] then greatest(1, len(list_filter(list_distinct(pe), lambda x: x < pl_prob))) - 1 end pb, case when len(list_distinct(ge)) > 1 and gap between ge[1] and ge[5] then greatest(1, len(list_filter(list_distinct(ge), lambda x: x < gap))) - 1 end gb,
+  case when wind_speed < 2 then 0 when wind_speed < 4 then 1 when wind_speed < 6 then 2 when wind_speed < 8 then 3 else 4 end wb, case when wave_height < 0.5 then 0 when wave_height < 1 then 1 when wave_height < 2 then 2 else 3 end vb, case when sin(radians(wind_dir_deg)) < 0 then 1 else 0 end tw from placed p join e using (w) where w in (select w from fit)),
+long as (select 1 place, 'pl_prob_bin' condition, pb::varchar label, * from b union all select 2, 'gap_bin', gb::varchar, * from b union all select 3, 'wind_bin', wb::varchar, * from b union all select 4, 'wave_bin', vb::varchar, * from b union all select 5, 'tailwind', tw::varchar, * from b union all select 6, 'venue', venue, * from b),
+rep as (select w, place, condition, label, n::integer top_n, count(*) filter (where tune and trifecta_odds is not null) races, count(*) filter (where tune and trifecta_odds is not null and true_order_rank <= n) hits, coalesce(sum(trifecta_odds) filter (where tune and true_order_rank <= n), 0) ret,
+  count(*) filter (where not tune) n_races, count(*) filter (where not tune and true_order_rank <= n) n_hits, coalesce(sum(trifecta_odds) filter (where not tune and true_order_rank <= n), 0) total_return from long, range(1, 6) t(n) where label is not null group by all),
+good as (select *, (ret - top_n * races) / (top_n * races) tune_roi, count(*) over (partition by w, top_n, condition) bins from rep where races >= case when condition = 'venue' then 50 else 30 end),
+chosen as (select * from good where bins > 1 and hits >= 3 qualify row_number() over (partition by w, top_n order by tune_roi desc, races desc, hits / races desc, place, label) = 1)"""
+
+
+@query(_WALK + " select w \"window\", top_n, condition, label, n_races, n_hits, round(total_return, 2) total_return, round((total_return - n_races * top_n) / nullif(n_races * top_n, 0), 9) roi_net, round(tune_roi, 9) tune_roi from chosen")
 def race_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """Rolling windows; the tests hold it against a loop over the windows."""
+    """Rolling windows: the condition chosen on the tune days and what it returns on the test days."""
     w = roi.walk_forward(X.bets(spark, sf))
-    return w.select("window", "top_n", "condition", "label", "n_races", "n_hits", F.round("total_return", 2).alias("total_return"), F.round("roi_net", 5).alias("roi_net"), F.round("tune_roi", 5).alias("tune_roi"))
+    return w.select("window", "top_n", "condition", "label", "n_races", "n_hits", F.round("total_return", 2).alias("total_return"), F.round("roi_net", 9).alias("roi_net"), F.round("tune_roi", 9).alias("tune_roi"))
 
 
 @query(BETS + """, known as (select * from bets where trifecta_odds is not null), e as (select list_distinct(quantile_cont(pl_prob, list_transform(range(0, 11), lambda x: x / 10.0))) pe from known),
@@ -236,13 +253,31 @@ def race_decile_audit(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("decile", "top_n", "n_races", F.round("prob_mean", 6).alias("prob_mean"), F.round("prob_median", 6).alias("prob_median"), F.col("n_hits").cast("long").alias("n_hits"), F.round("hit_rate", 6).alias("hit_rate"), F.round("roi_net", 5).alias("roi_net"), F.round("return_share", 6).alias("return_share"), F.round("hit_share", 6).alias("hit_share"))
 
 
-@query()
+@query(_WALK + " select top_n, sum(n_races)::bigint n_races, sum(n_hits)::bigint n_hits, round(sum(total_return), 2) total_return, count(*) windows, round((sum(total_return) - sum(n_races * top_n)) / nullif(sum(n_races * top_n), 0), 9) roi_net from chosen group by top_n")
+def race_walk_total(spark: SparkSession, sf: str) -> DataFrame:
+    t = roi.walk_forward_total(roi.walk_forward(X.bets(spark, sf)))
+    return t.select("top_n", "n_races", "n_hits", F.round("total_return", 2).alias("total_return"), "windows", F.round("roi_net", 9).alias("roi_net"))
+
+
+_DRAW = "(('0x' || substr(md5(race_key || '|' || lane || '|0|{k}'), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double"
+_VOTES = SCORED + ", n as (select *, " + ", ".join(_DRAW.format(k=k) + f" u{k}" for k in (0, 1)) + """ from lr),
+v as (select race_key, lane, score / 0.8::double + case when lane <= 2 then 0.15 else 0 end::double safe, score / 1.3::double + case when lane >= 4 then 0.2 else 0 end::double + 0.07::double * sqrt(-2 * ln(u0)) * cos(2 * pi() * u1) chaos, score trend from n),
+c as (select race_key, unnest([array_to_string(list(lane order by safe desc, lane)[1:3], '-'), array_to_string(list(lane order by chaos desc, lane)[1:3], '-'), array_to_string(list(lane order by trend desc, lane)[1:3], '-')]) trifecta from v group by race_key),
+votes as (select race_key, trifecta, count(*) votes from c group by all)"""
+
+
+@query(_VOTES + " select * from votes")
 def race_persona_votes(spark: SparkSession, sf: str) -> DataFrame:
-    """Votes of three bettors; one of them draws noise from hashes, which SQL elsewhere lacks."""
+    """Votes of three bettors; one of them draws noise from md5 digests of race, lane and seed."""
     votes, _ = metrics.persona_votes(X.scored(spark, sf))
     return votes
 
 
+@query(_VOTES + " select race_key, max(votes) max_votes, 3 - max(votes) disagreement from votes group by race_key")
+def race_persona_disagreement(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.persona_votes(X.scored(spark, sf))[1]
+
+
 @query("select cast(l_orderkey as varchar) race_key, l_linenumber lane, l_suppkey racer_id, l_shipdate from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by case when l_shipdate >= timestamp '1998-01-01' then 1 else 0 end desc, l_shipdate desc, l_partkey desc, l_suppkey desc, l_extendedprice desc, l_quantity desc) = 1")
 def race_upsert(spark: SparkSession, sf: str) -> DataFrame:
     loads = X.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("race_key"), F.col("l_linenumber").alias("lane"), *X.SEQUENCE)

@@ -119,3 +119,31 @@ def test_summaries_agree(spark):
         assert signals.roll_up(daily, period).agg(F.sum("total")).first()[0] == 3
     assert signals.roll_up(daily, "week", "2025-01-05").count() == 1
     assert signals.unsent(sent, official).count() == 2
+
+
+def test_late_results_are_met_and_open_ones_given_out(spark, tmp_path):
+    t = lambda day, hour: dt.datetime(2025, 1, day, hour)
+    sent = [("01", "20250101", n, True, t(1, 10), "1-2-3", 0.3) for n in (1, 2, 3)] + [("01", "20250120", 9, True, t(20, 10), "z", 0.1)]
+    official = [("01", "20250101", 1, "1-2-3", 900, t(1, 12)), ("01", "20250101", 2, "4-5-6", 700, t(3, 12)), ("01", "20250120", 8, "9", 1, t(20, 11))]
+    spark.createDataFrame(sent, alerts.SENT).write.parquet(str(tmp_path / "s"))
+    schema = "jcd string, hd string, rno int, official_tri string, payout_yen int, result_ts timestamp"
+    spark.createDataFrame(official, schema).write.parquet(str(tmp_path / "o"))
+    stream = alerts.settle_stream(alerts.read_new_files(spark, str(tmp_path / "s"), alerts.SENT), alerts.read_new_files(spark, str(tmp_path / "o"), schema))
+    stream.writeStream.format("memory").queryName("settled").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r.rno, r.payout_yen) for r in spark.table("settled").collect()}
+    assert got == {(1, 900), (2, None), (3, None)}  # the second result came too late; the last signal is still awaited
+
+
+def test_values_at_any_place(spark):
+    import numpy as np
+
+    from lanewise.operators import prepare
+
+    rng = np.random.default_rng(0)
+    rows = [("a", float(x)) for x in rng.normal(0, 1, 500)] + [("b", float(x)) for x in rng.integers(0, 3, 400)] + [("c", 7.0), ("d", None)] + [("e", float(x)) for x in 10.0 ** rng.uniform(-9, 9, 300)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.edges for r in prepare.quantile_edges(df, "x", 4, ["g"]).collect()}
+    for g in "abce":
+        xs = [x for k, x in rows if k == g]
+        assert np.allclose(got[g], list(dict.fromkeys(np.quantile(xs, [0, 0.25, 0.5, 0.75, 1.0])))), g
+    assert "d" not in got

@@ -167,3 +167,44 @@ def test_report_writer(spark, tmp_path):
     df = spark.range(2).select("id", F.array(F.lit(1)).alias("xs"))
     readers.write_report(df, str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).columns == ["id", "xs"]
+
+
+def test_staging_files_of_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("lane,racer_id,ST,course,source_file\n1,4321,.12,1,x\n2,bad,F.03,2,\"y,\nz\"\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("course,lane,tilt\r\n3,6,-0.5\r\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("", encoding="utf-8")
+    rows = {r.lane: r for r in readers.read_beforeinfo(spark, str(tmp_path / "*.csv")).collect() if r.lane}
+    assert (rows[1].racer_id, rows[1].st_time_raw, rows[1].tilt) == (4321, ".12", None) and rows[2].racer_id is None
+    assert (rows[6].course, rows[6].tilt, rows[6].st_time_raw) == (3, -0.5, None)
+    assert readers.read_beforeinfo(spark, str(tmp_path / "empty.csv")).count() == 0
+
+
+def test_encoded_csv_with_line_breaks(spark, tmp_path):
+    text = '名前,値\n"山\n田",1\n"a ""b"", c",2\n'
+    for encoding in ("utf-8", "cp932"):
+        (tmp_path / encoding).mkdir()
+        (tmp_path / encoding / "x.csv").write_bytes(text.encode(encoding))
+        rows = readers.read_csv_encoded(spark, str(tmp_path / encoding), "name string, n int", encoding).collect()
+        assert sorted((r.n, r.name) for r in rows) == [(1, "山\n田"), (2, 'a "b", c')]
+
+
+def test_deep_and_broken_pages(spark):
+    deep = "<div>" * 5000 + "<p>" * 3000 + "x"
+    html = f'<div class="heading1_mainLabel">直前情報</div><h2 class="heading2_titleName">杯</h2>{deep}'
+    rows = spark.createDataFrame([("a", html), ("b", "<td" * 2000), ("c", None)], "path string, html string")
+    assert [r.path for r in pages.extract(rows, pages.before_page, pages.BEFORE).collect()] == ["a"]
+    cells = pages.Tree("<table><tr><td>1<td>2<tr><td>3</table><p>one<p>two").root
+    assert [[c.text() for c in r.all("td")] for r in cells.all("tr")] == [["1", "2"], ["3"]] and [p.text() for p in cells.all("p")] == ["one", "two"]
+
+
+def test_documents_are_merged_by_field(spark, tmp_path):
+    sink = readers.merge_documents(str(tmp_path / "d"), ["id"], ["at"])
+    schema = "id int, at int, a string, b string"
+    sink(spark.createDataFrame([(1, 1, "x", None), (1, 2, None, "y"), (2, 1, "z", "z")], schema), 0)
+    for _ in range(2):
+        sink(spark.createDataFrame([(1, 3, None, "new")], schema), 1)
+    want = {(1, "x", "new"), (2, "z", "z")}
+    got = readers.read_documents(spark, str(tmp_path / "d"), ["id"], ["at"])
+    assert {(r.id, r.a, r.b) for r in got.collect()} == want
+    readers.compact_documents(spark, str(tmp_path / "d"), str(tmp_path / "e"), ["id"], ["at"])
+    assert {(r.id, r.a, r.b) for r in readers.read_documents(spark, str(tmp_path / "e"), ["id"], ["at"]).collect()} == want
