@@ -237,11 +237,11 @@ good as (select *, (ret - top_n * races) / (top_n * races) tune_roi, count(*) ov
 chosen as (select * from good where bins > 1 and hits >= 3 qualify row_number() over (partition by w, top_n order by tune_roi desc, races desc, hits / races desc, place, label) = 1)"""
 
 
-@query(_WALK + " select w \"window\", top_n, condition, label, n_races, n_hits, round(total_return, 2) total_return, round((total_return - n_races * top_n) / nullif(n_races * top_n, 0), 9) roi_net, round(tune_roi, 9) tune_roi from chosen")
+@query(_WALK + " select w \"window\", top_n, condition, label, n_races, n_hits, round(total_return, 2) total_return, round((total_return - n_races * top_n) / nullif(n_races * top_n, 0), 11) roi_net, round(tune_roi, 11) tune_roi from chosen")
 def race_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     """Rolling windows: the condition chosen on the tune days and what it returns on the test days."""
     w = roi.walk_forward(X.bets(spark, sf))
-    return w.select("window", "top_n", "condition", "label", "n_races", "n_hits", F.round("total_return", 2).alias("total_return"), F.round("roi_net", 9).alias("roi_net"), F.round("tune_roi", 9).alias("tune_roi"))
+    return w.select("window", "top_n", "condition", "label", "n_races", "n_hits", F.round("total_return", 2).alias("total_return"), F.round("roi_net", 11).alias("roi_net"), F.round("tune_roi", 11).alias("tune_roi"))
 
 
 @query(BETS + """, known as (select * from bets where trifecta_odds is not null), e as (select list_distinct(quantile_cont(pl_prob, list_transform(range(0, 11), lambda x: x / 10.0))) pe from known),
@@ -253,10 +253,10 @@ def race_decile_audit(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("decile", "top_n", "n_races", F.round("prob_mean", 6).alias("prob_mean"), F.round("prob_median", 6).alias("prob_median"), F.col("n_hits").cast("long").alias("n_hits"), F.round("hit_rate", 6).alias("hit_rate"), F.round("roi_net", 5).alias("roi_net"), F.round("return_share", 6).alias("return_share"), F.round("hit_share", 6).alias("hit_share"))
 
 
-@query(_WALK + " select top_n, sum(n_races)::bigint n_races, sum(n_hits)::bigint n_hits, round(sum(total_return), 2) total_return, count(*) windows, round((sum(total_return) - sum(n_races * top_n)) / nullif(sum(n_races * top_n), 0), 9) roi_net from chosen group by top_n")
+@query(_WALK + " select top_n, sum(n_races)::bigint n_races, sum(n_hits)::bigint n_hits, round(sum(total_return), 2) total_return, count(*) windows, round((sum(total_return) - sum(n_races * top_n)) / nullif(sum(n_races * top_n), 0), 11) roi_net from chosen group by top_n")
 def race_walk_total(spark: SparkSession, sf: str) -> DataFrame:
     t = roi.walk_forward_total(roi.walk_forward(X.bets(spark, sf)))
-    return t.select("top_n", "n_races", "n_hits", F.round("total_return", 2).alias("total_return"), "windows", F.round("roi_net", 9).alias("roi_net"))
+    return t.select("top_n", "n_races", "n_hits", F.round("total_return", 2).alias("total_return"), "windows", F.round("roi_net", 11).alias("roi_net"))
 
 
 _DRAW = "(('0x' || substr(md5(race_key || '|' || lane || '|0|{k}'), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double"
