@@ -8,8 +8,8 @@ in a bounded sample, then by hash, so that common passages come last. Of the set
 with the least of them first; then only those that are still in different components are compared with one another.
 
 Two filters that lose nothing come before the exact comparison: sets of similarity 0.8 have sizes within a factor of 0.8,
-and differ in at most a ninth of their sizes' sum, hence in no more bits of MAP_BITS-bit maps of their hashes. Every
-remaining pair is verified by the exact similarity of its shingle sets.
+and differ in at most a ninth of their sizes' sum, hence in no more bits of bit maps of their hashes, which are about four
+times as long as the sets are large, so that they tell texts of any length apart. Every remaining pair is verified by the exact similarity of its shingle sets.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from .common import bounded_batches, stage
 from .components import components
 from .simhash import majority, near_links
 
-SHINGLE, SAMPLE_ROWS, COMMON, MAP_BITS = 5, 4_000, 50_000, 1024
+SHINGLE, SAMPLE_ROWS, COMMON = 5, 4_000, 50_000
+#: Least bits of a map.
+MAP_BITS = 512
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
 
@@ -49,17 +51,29 @@ def name_of(hashes: np.ndarray) -> int:
 
 
 def bit_map(hashes: np.ndarray) -> np.ndarray:
-    """MAP_BITS bits as longs, those of the hashes' residues set."""
-    bits = np.zeros(MAP_BITS, np.uint8)
-    bits[hashes.view(np.uint64) % MAP_BITS] = 1
+    """A map as longs, the bits of the hashes' residues set; its length is a power of two from four bits a hash on."""
+    size = max(MAP_BITS, (1 << (4 * len(hashes)).bit_length()) >> 1)
+    bits = np.zeros(size, np.uint8)
+    bits[hashes.view(np.uint64) % size] = 1
     return np.packbits(bits).view(np.int64)
 
 
+def same_length(x: Column, y: Column) -> Column:
+    """The map x folded to y's length if it is twice as long: residues modulo the half."""
+    half = F.size(y)
+    return F.when(F.size(x) == 2 * half, F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseOR(q))).otherwise(x)
+
+
+def sizes_fit(x: Column, y: Column) -> Column:
+    return F.least(x, y) * DEN >= F.greatest(x, y) * NUM
+
+
 def may_be_close(x: Column, y: Column) -> Column:
-    """Whether two sets, structs of n and map, can have the similarity by their sizes and maps."""
-    sizes = (F.least(x["n"], y["n"]) * DEN >= F.greatest(x["n"], y["n"]) * NUM)
-    apart = F.aggregate(F.zip_with(x["map"], y["map"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, v: a + v)
-    return sizes & (apart * (NUM + DEN) <= (x["n"] + y["n"]) * (DEN - NUM))
+    """Whether two sets, structs of n and map, can have the similarity by their sizes and maps. Sizes that fit are
+    within a factor of two, so one folding is enough."""
+    differ = F.zip_with(same_length(x["map"], y["map"]), same_length(y["map"], x["map"]), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(differ, F.lit(0), lambda a, v: a + v)
+    return F.when(sizes_fit(x["n"], y["n"]), apart * (NUM + DEN) <= (x["n"] + y["n"]) * (DEN - NUM)).otherwise(False)
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -162,10 +176,11 @@ def near_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     links = stage(links.unionByName(similar_pairs(docs, rows, stage(close_pairs(stars, nodes), "similar-stars"))), "similar-links")
     # Members of a group that are in different components meet each other, in pairs that pass the filters.
     known = stage(labels(), "similar-labels")
-    member = named(groups.select(F.xxhash64("xs").alias("g"), F.explode("xs").alias("node")), "node", known).join(nodes.select("node", "n", "map"), "node")
-    each = member.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("n", "node", F.col("label_node").alias("label"), "map"))).alias("xs")).where(F.size(F.array_distinct(F.transform("xs", lambda x: x["label"]))) > 1)
-    other = F.filter(F.slice("xs", F.col("i") + 2, F.size("xs")), lambda y: (y["label"] != F.col("x.label")) & may_be_close(F.col("x"), y))
+    member = named(groups.select(F.xxhash64("xs").alias("g"), F.explode("xs").alias("node")), "node", known).join(nodes.select("node", "n"), "node")
+    each = member.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("n", "node", F.col("label_node").alias("label")))).alias("xs")).where(F.size(F.array_distinct(F.transform("xs", lambda x: x["label"]))) > 1)
+    other = F.filter(F.slice("xs", F.col("i") + 2, F.size("xs")), lambda y: (y["label"] != F.col("x.label")) & sizes_fit(F.col("x.n"), y["n"]))
     rest = each.select("xs", F.posexplode("xs").alias("i", "x")).select("x", F.explode(other).alias("y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    rest = close_pairs(stage(rest, "similar-apart"), nodes)
     links = stage(links.unionByName(similar_pairs(docs, rows, stage(rest, "similar-rest"))), "similar-all")
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = stage(named(least, "node", labels()).select("node", F.col("label_node").alias("label"), "least"), "similar-named")
