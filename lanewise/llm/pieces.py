@@ -30,7 +30,7 @@ from .common import bounded_batches, byte_length, stage, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text characters of a block, on average; characters of a unit that is folded in Spark: longer ones, which no rule can
 #: cut, are searched by the same rule in tasks.
-BLOCK_CHARS, LONGEST_FOLDED = 4 << 20, 256
+BLOCK_CHARS, LONGEST_FOLDED = 8 << 20, 256
 #: Parts that units are dealt to, at most; beyond as many blocks, a part's blocks are dealt to several groups.
 MOST_PARTS = 1 << 16
 #: Units of a task whose edges are grouped without a sort; units that are packed into one row a part.
@@ -137,7 +137,7 @@ def taken(values: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.nda
 
 def compressed(numbers: np.ndarray) -> bytes:
     """Numbers as four planes of bytes, so that the usual small ones leave little."""
-    return pa.Codec("zstd", compression_level=6).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
 
 
 def decompressed(data: bytes, n: int) -> np.ndarray:
