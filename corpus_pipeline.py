@@ -63,8 +63,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: The toxicity chain is trained and the pieces are searched, so no SQL states run()'s rows; the tests hold each stage
-#: against a plain version on the rows that the stage before it kept.
+#: The toxicity chain is trained and the pieces are searched, so no SQL states run()'s rows; tests/llm holds the stages
+#: against plain versions (test_pipeline.py, and each operator's own tests).
 ORACLE_SQL = None
 
 
