@@ -17,6 +17,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ from .common import bounded_batches, byte_length, stage, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Text characters of a block, on average; characters of a unit that is folded in Spark: longer ones, which no rule can
 #: cut, are searched by the same rule in tasks.
-BLOCK_CHARS, LONGEST_FOLDED = 8 << 20, 256
+BLOCK_CHARS, LONGEST_FOLDED = 4 << 20, 256
+#: Units of texts that are spelled at a time.
+TEXT_UNITS = 100_000
 #: Parts that units are dealt to, at most; beyond as many blocks, a part's blocks are dealt to several groups.
 MOST_PARTS = 1 << 16
 #: Units of a task whose edges are grouped without a sort; units that are packed into one row a part.
@@ -181,9 +184,12 @@ def blocks(docs: DataFrame, pieces: Pieces, block_chars: int, parts: int, groups
         yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), compressed(small[numbers]), compressed(names)))], names_of(TEXTS))
 
     def block(name: int, cuts: Cuts, numbers: Numbers, flat: array, offsets: array, ids: list, hashes: list) -> Iterator[pa.RecordBatch]:
-        found, counts = cuts.units([spelled_key(k) for k in numbers])
-        units = Numbers()
-        of = np.fromiter(map(units.__getitem__, found), np.int64, len(found))
+        units, of, counts, left = Numbers(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], iter(numbers)
+        while keys := [spelled_key(k) for k in islice(left, 20_000)]:  # so that few strings are held twice
+            found, n = cuts.units(keys)
+            of.append(np.fromiter(map(units.__getitem__, found), np.int64, len(found)))
+            counts.append(n)
+        of, counts = np.concatenate(of), np.concatenate(counts)
         part = np.fromiter((zlib.crc32(u.encode("utf-8", "surrogatepass")) % parts for u in units), np.int64, len(units))
         order = np.argsort(part, kind="stable")
         if with_words:
@@ -372,15 +378,23 @@ def encode(docs: DataFrame, model: str = MODEL, block_chars: int = BLOCK_CHARS)
         own = pa.ipc.open_stream(docs_).read_all()
         size = own.column("n").to_numpy()
         units = decompressed(names, len(n))[decompressed(numbers, int(size.sum()))]
-        ids = taken(flat, np.cumsum(n) - n, n, units)
-        ends = np.concatenate(([0], np.cumsum(n[units])))[np.concatenate(([0], np.cumsum(size)))]
-        decoded = pa.array(spelled, pa.binary()).take(pa.array(ids.astype(np.uint16)))
-        at, data = np.frombuffer(decoded.buffers()[1], np.int32)[: len(ids) + 1], memoryview(decoded.buffers()[2] or b"")
-        # Without the space that every text begins with.
-        hashes = [hashlib.sha256(data[a + 1 : b]).digest() for a, b in zip(at[ends[:-1]].tolist(), at[ends[1:]].tolist(), strict=True)]
-        if hashes != own.column("sha").to_pylist():
-            raise RuntimeError("a decoded text differs from the text: the input changed between two passes")
-        return pa.table([own.column("doc_id"), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array([h.hex() for h in hashes], pa.string())], names=names_of(IDS))
+        start, bounds, names_, out = np.cumsum(n) - n, np.concatenate(([0], np.cumsum(size))), names_of(IDS), []
+        piece_bytes, shas, doc_ids = pa.array(spelled, pa.binary()), own.column("sha").to_pylist(), own.column("doc_id")
+        at = 0
+        while at < len(size):  # some texts at a time, so that what the steps hold stays small
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + TEXT_UNITS, "right")) - 1)
+            these = units[bounds[at] : bounds[to]]
+            ids = taken(flat, start, n, these).astype(np.uint16)
+            ends = np.concatenate(([0], np.cumsum(n[these])))[bounds[at : to + 1] - bounds[at]]
+            decoded = piece_bytes.take(pa.array(ids))
+            byte, data = np.frombuffer(decoded.buffers()[1], np.int32)[: len(ids) + 1], memoryview(decoded.buffers()[2] or b"")
+            # Without the space that every text begins with.
+            hashes = [hashlib.sha256(data[a + 1 : b]).digest() for a, b in zip(byte[ends[:-1]].tolist(), byte[ends[1:]].tolist(), strict=True)]
+            if hashes != shas[at:to]:
+                raise RuntimeError("a decoded text differs from the text: the input changed between two passes")
+            out.append(pa.table([doc_ids.slice(at, to - at), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array([h.hex() for h in hashes], pa.string())], names=names_))
+            at = to
+        return pa.concat_tables(out)
 
     return back.unionByName(texts, allowMissingColumns=True).groupBy("block").applyInArrow(block, IDS)
 

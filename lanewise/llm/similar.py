@@ -27,8 +27,8 @@ from .components import components
 from .simhash import majority, near_links
 
 SHINGLE, SAMPLE_ROWS, COMMON = 5, 4_000, 50_000
-#: Least bits of a map.
-MAP_BITS = 512
+#: Least bits of a map, and most bits of a brief one.
+MAP_BITS, BRIEF_BITS = 512, 2048
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
 
@@ -58,6 +58,11 @@ def bit_map(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def brief_map(longs: np.ndarray) -> np.ndarray:
+    """A map folded to BRIEF_BITS, if it is longer."""
+    return np.bitwise_or.reduce(longs.reshape(-1, BRIEF_BITS // 64), axis=0) if len(longs) > BRIEF_BITS // 64 else longs
+
+
 def same_length(x: Column, y: Column) -> Column:
     """The map x folded to y's length if it is twice as long: residues modulo the half."""
     half = F.size(y)
@@ -151,20 +156,21 @@ def near_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     common, counts = common_shingles(docs)
-    schema = ", ".join(["doc_id long", *(f"`{c}` long" for c in carry), "node long, n int, fp long, map array<long>, keys array<long>"])
+    schema = ", ".join(["doc_id long", *(f"`{c}` long" for c in carry), "node long, n int, fp long, map array<long>, brief array<long>, keys array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py() or b"") for t in b.column("text")]
             longs = [pa.array(x, pa.int64()) for x in ([name_of(s) for s in sets], [majority(s.view(np.uint64)) for s in sets])]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([bit_map(s) for s in sets], [prefix(s, common, counts) for s in sets])]
+            maps = [bit_map(s) for s in sets]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (maps, [brief_map(m) for m in maps], [prefix(s, common, counts) for s in sets])]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(b.column(c) for c in carry), longs[0], pa.array([len(s) for s in sets], pa.int32()), longs[1], *lists], ["doc_id", *carry, "node", "n", "fp", "map", "keys"],
+                [b.column("doc_id"), *(b.column(c) for c in carry), longs[0], pa.array([len(s) for s in sets], pa.int32()), longs[1], *lists], ["doc_id", *carry, "node", "n", "fp", "map", "brief", "keys"],
             )
 
     rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "similar-rows")
     once = rows.dropDuplicates(["node"])  # rows of one node have equal sets
-    nodes = stage(once.select("node", "n", "fp", "map"), "similar-nodes")
+    nodes = stage(once.select("node", "n", "fp", "map", "brief"), "similar-nodes")
     groups = stage(candidate_groups(once.select("node", "keys")), "similar-groups")
     links = stage(similar_pairs(docs, rows, stage(close_pairs(simhash_pairs(nodes), nodes), "similar-first")), "similar-links")
     labels = lambda: components(links).select(F.col("node").alias("_n"), "label")
@@ -174,11 +180,14 @@ def near_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     stars = groups.select(F.get("xs", F.lit(0)).alias("a"), F.explode("xs").alias("b")).where("a <> b").distinct()
     stars = named(named(stars, "a", known), "b", known).where("label_a <> label_b").select("a", "b")
     links = stage(links.unionByName(similar_pairs(docs, rows, stage(close_pairs(stars, nodes), "similar-stars"))), "similar-links")
-    # Members of a group that are in different components meet each other, in pairs that pass the filters.
+    # Members of a group that are in different components meet each other within the group's row, and leave it as pairs
+    # only where sizes and brief maps let them.
     known = stage(labels(), "similar-labels")
-    member = named(groups.select(F.xxhash64("xs").alias("g"), F.explode("xs").alias("node")), "node", known).join(nodes.select("node", "n"), "node")
-    each = member.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("n", "node", F.col("label_node").alias("label")))).alias("xs")).where(F.size(F.array_distinct(F.transform("xs", lambda x: x["label"]))) > 1)
-    other = F.filter(F.slice("xs", F.col("i") + 2, F.size("xs")), lambda y: (y["label"] != F.col("x.label")) & sizes_fit(F.col("x.n"), y["n"]))
+    member = stage(named(groups.select(F.xxhash64("xs").alias("g"), F.explode("xs").alias("node")), "node", known), "similar-members")
+    mixed = member.groupBy("g").agg(F.min("label_node").alias("_l"), F.max("label_node").alias("_m")).where("_l <> _m").select("g")
+    held = member.join(mixed, "g").join(nodes.select("node", "n", F.col("brief").alias("map")), "node")
+    each = held.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("n", "node", F.col("label_node").alias("label"), "map"))).alias("xs"))
+    other = F.filter(F.slice("xs", F.col("i") + 2, F.size("xs")), lambda y: F.when(y["label"] != F.col("x.label"), may_be_close(F.col("x"), y)).otherwise(False))
     rest = each.select("xs", F.posexplode("xs").alias("i", "x")).select("x", F.explode(other).alias("y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     rest = close_pairs(stage(rest, "similar-apart"), nodes)
     links = stage(links.unionByName(similar_pairs(docs, rows, stage(rest, "similar-rest"))), "similar-all")
