@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, pieces, quality, secrets, sharding, simhash, toxicity, warc, weighted
+from . import lines, mixing, pieces, quality, secrets, sharding, simhash, toxicity, variants, warc, weighted
 
 QUERIES = {
     "op2_fingerprints": weighted.op2_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
+    "op12_variants": variants.op12_variants,
 }
 
-ORACLES = {"op4_warc": warc.OP4_SQL, "op9_mixing": mixing.OP9_SQL}
+ORACLES = {"op4_warc": warc.OP4_SQL, "op9_mixing": mixing.OP9_SQL, "op12_variants": variants.OP12_SQL}
