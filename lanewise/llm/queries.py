@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, pieces, quality, secrets, sharding, simhash, toxicity, variants, warc, weighted
+from . import alignment, lines, mixing, pieces, quality, secrets, sharding, simhash, toxicity, variants, warc, weighted
 
 QUERIES = {
     "op2_fingerprints": weighted.op2_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_mixing": mixing.op9_mixing,
     "op10_secrets": secrets.op10_secrets,
+    "op11_alignment": alignment.op11_alignment,
     "op12_variants": variants.op12_variants,
 }
 
