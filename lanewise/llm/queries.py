@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, lines, mixing, pieces, quality, secrets, sharding, simhash, toxicity, variants, warc, weighted
+from . import alignment, lines, mixing, nbsvm, pieces, quality, secrets, sharding, simhash, toxicity, variants, warc, weighted
 
 QUERIES = {
     "op2_fingerprints": weighted.op2_fingerprints,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_alignment": alignment.op11_alignment,
     "op12_variants": variants.op12_variants,
+    "op13_quality_classifier": nbsvm.op13_quality_classifier,
 }
 
 ORACLES = {"op4_warc": warc.OP4_SQL, "op9_mixing": mixing.OP9_SQL, "op12_variants": variants.OP12_SQL}
