@@ -95,8 +95,12 @@ def fit_svm(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, seed: int = 0)
                 alpha[i] = new
         if worst < TOLERANCE:
             break
-    mean = np.abs(w[:n]).mean() if n else 0.0
-    return np.append((1 - SHARE) * mean + SHARE * w[:n], SHARE * w[n])
+    return w
+
+
+def drawn_to_mean(w: np.ndarray) -> np.ndarray:
+    """Weights (the constant last) drawn to their mean size by 1 - SHARE."""
+    return np.append((1 - SHARE) * np.abs(w[:-1]).mean() + SHARE * w[:-1], SHARE * w[-1])
 
 
 def margin(ids: list[int] | np.ndarray, r: np.ndarray, weight: np.ndarray, constant: float) -> float:
@@ -183,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, mo
         ids, y, fold = [np.frombuffer(x, np.int32).astype(np.int64) for x in own.column("ids").to_pylist()], own.column("y").to_numpy(), own.column("fold").to_numpy()
         seen = np.flatnonzero(fold != model)
         r = ratios([ids[i] for i in seen], y[seen], n)
-        w = fit_svm([ids[i] for i in seen], y[seen], r)
+        w = drawn_to_mean(fit_svm([ids[i] for i in seen], y[seen], r))
         weight, unseen = r * w[:n], np.flatnonzero(fold == model)
         margins = np.array([margin(ids[i], r, weight, w[n]) for i in unseen])
         whole = model == FOLDS
