@@ -43,7 +43,7 @@ def form_of(token: str) -> str:
 
 
 def terms_of(text: str | None) -> set:
-    """Words and forms are told apart by a first part: () before words, 0 before forms; single words stand alone."""
+    """A word alone, pairs of words, and one to four forms after an empty part, which no word is."""
     tokens = TOKEN.findall(text or "")
     words = [t.lower() for t in tokens]
     known: dict[str, str] = {}
@@ -51,7 +51,7 @@ def terms_of(text: str | None) -> set:
     terms: set = set(words)
     terms.update(zip(words, words[1:]))
     for n in range(1, 5):
-        terms.update(zip("#" * len(forms), *(forms[k:] for k in range(n))))
+        terms.update(zip([""] * len(forms), *(forms[k:] for k in range(n))))
     return terms
 
 
