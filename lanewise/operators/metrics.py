@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from .prepare import values_at
+from ..sources.shared import stage
+from .quantiles import values_at
 
 
 def per_race(df: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def per_race(df: DataFrame) -> DataFrame:
 def quality(df: DataFrame) -> DataFrame:
     """One row: races, position and set hit rates, constant 1-2-3 baselines, MRR, Spearman, score spread, mean ranks."""
     names = ["hit1", "hit2", "hit3", "trifecta_hit", "trio_hit", "base1", "base2", "base3", "base_trifecta", "base_trio", "mrr", "spearman", "set_rank", "trifecta_rank"]
-    races = per_race(df)
+    races = stage(per_race(df).select("spread", *names), "quality-races")
     lower = values_at(races, "spread", lambda n: F.array(F.ceil(n / 2) - 1)).select(F.get("values", F.lit(0)).alias("spread_median"))
     return races.agg(F.count("*").alias("n_races"), *(F.avg(c).alias(c) for c in names), F.avg("spread").alias("spread_mean")).join(lower, F.lit(True), "left")  # one row each
 

@@ -1,12 +1,14 @@
-"""Standardising, splits, within-race scores and quantile bins."""
+"""Standardising, splits and within-race scores; quantile bins are in quantiles.py and named here for callers."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantile_bin, quantile_edges, values_at, with_quantile_bin  # noqa: F401
+
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row (a group) of {c}_mean and {c}_std: nulls ignored, population deviation, 1 where it is 0."""
@@ -118,47 +120,3 @@ def split_cutoff(df: DataFrame, day: str = "race_date") -> DataFrame:
     cut = F.date_from_unix_date(F.floor(F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).cast("int"))
     early = F.date_sub("last_day", 120)
     return q.select("n", "first_day", "last_day", "r", F.when(F.datediff(F.col("last_day"), cut) < 120, early).otherwise(cut).alias("cutoff"))
-
-
-def values_at(df: DataFrame, column: str | Column, positions: Callable[[Column], Column], by: Sequence[str] = (), buckets: int = 4096) -> DataFrame:
-    """by and `values`: the known values at 0-based positions (an array from the count n) of a group's order, linear
-    between two values.
-
-    Exact at any size: counts of equal values are summed into buckets of the value range, running sums over the buckets
-    find those that hold a wanted place, and only their values are put in order. No task holds a group's values.
-    """
-    keys = [*by, "_g"]
-    known = df.select(*by, F.lit(0).alias("_g"), (F.col(column) if isinstance(column, str) else column).cast("double").alias("_x")).where("_x is not null and not isnan(_x)")
-    counts = known.groupBy(*keys, "_x").agg(F.count("*").alias("_c"))
-    whole = counts.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_c").alias("_n"))
-    bucket = F.coalesce(F.least(F.lit(buckets - 1), F.floor(F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * buckets)), F.lit(0)).cast("int")
-    placed = counts.join(whole.select(*keys, "_lo", "_hi"), keys).select(*keys, "_x", "_c", bucket.alias("_b"))
-    upto = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    sums = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_m")).withColumn("_end", F.sum("_m").over(upto))
-    asked = whole.select(*keys, F.posexplode(positions(F.col("_n"))).alias("_k", "_p")).select(*keys, "_k", "_p", F.explode(F.array_distinct(F.array(F.floor("_p"), F.ceil("_p")))).alias("_r"))
-    asked = asked.join(sums, keys).where((F.col("_r") < F.col("_end")) & (F.col("_r") >= F.col("_end") - F.col("_m"))).select(*keys, "_k", "_p", "_r", "_b", (F.col("_end") - F.col("_m")).alias("_start"))
-    order = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    inside = placed.join(asked.select(*keys, "_b").distinct(), [*keys, "_b"]).withColumn("_to", F.sum("_c").over(order))
-    found = asked.join(inside, [*keys, "_b"]).where((F.col("_start") + F.col("_to") > F.col("_r")) & (F.col("_start") + F.col("_to") - F.col("_c") <= F.col("_r")))
-    each = found.groupBy(*keys, "_k", "_p").agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))
-    value = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_p") - F.floor("_p"))
-    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", value.alias("v")))), lambda x: x["v"]).alias("values")).drop("_g")
-
-
-def quantile_edges(df: DataFrame, column: str | Column, q: int, by: Sequence[str] = ()) -> DataFrame:
-    """`edges` (a group's): the distinct linear quantiles at 0, 1/q, ... 1 of the known values."""
-    at = lambda n: F.array(*((n - 1) * F.lit(i / q) for i in range(q + 1)))
-    return values_at(df, column, at, by).select(*by, F.array_distinct("values").alias("edges"))
-
-
-def quantile_bin(x: Column, edges: Column) -> Column:
-    """struct(id, low, high) of the right-closed bin that holds x, the lowest edge included; null outside or without bins."""
-    i = F.greatest(F.lit(1), F.size(F.filter(edges, lambda e: e < x)))
-    inside = (F.size(edges) > 1) & (x >= F.get(edges, F.lit(0))) & (x <= F.get(edges, F.size(edges) - 1))
-    return F.when(inside, F.struct((i - 1).alias("id"), F.get(edges, i - 1).alias("low"), F.get(edges, i).alias("high")))
-
-
-def with_quantile_bin(df: DataFrame, column: str, q: int, out: str, by: Sequence[str] = ()) -> DataFrame:
-    edges = quantile_edges(df, column, q, by)
-    joined = df.join(edges, list(by), "left") if by else df.crossJoin(F.broadcast(edges))  # one row
-    return joined.withColumn(out, quantile_bin(F.col(column).cast("double"), F.col("edges"))).drop("edges")

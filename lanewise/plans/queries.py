@@ -224,6 +224,19 @@ def race_conditions(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("condition", "label", "top_n", "n_races", F.col("n_hits").cast("long").alias("n_hits"), F.round("hit_rate", 6).alias("hit_rate"), F.round("roi_net", 5).alias("roi_net"))
 
 
+_SETS = ORACLES["race_conditions"].replace("long as (select 'pl_prob_bin'", "sets as (select pb, gb, wb, vb, tw, venue, n, grouping(pb) * 32 + grouping(gb) * 16 + grouping(wb) * 8 + grouping(vb) * 4 + grouping(tw) * 2 + grouping(venue) g, count(*) races, count(*) filter (where true_order_rank <= n) hits, sum(case when true_order_rank <= n then trifecta_odds else 0 end) ret\n  from b, range(1, 6) t(n) group by grouping sets ((pb, n), (gb, n), (wb, n), (vb, n), (tw, n), (venue, n))),\nold as (select 'pl_prob_bin'")
+_SETS = _SETS[: _SETS.index(",\nold as (")] + """
+select case g when 31 then 'pl_prob_bin' when 47 then 'gap_bin' when 55 then 'wind_bin' when 59 then 'wave_bin' when 61 then 'tailwind' when 62 then 'venue' end condition, coalesce(pb::varchar, gb::varchar, wb::varchar, vb::varchar, tw::varchar, venue) label,
+  n::integer top_n, races n_races, hits n_hits, round(hits / races, 6) hit_rate, round((ret - n * races) / (n * races), 5) roi_net from sets where races >= case when g = 62 then 50 else 30 end"""
+
+
+@query(_SETS)
+def race_condition_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """The condition report by one GROUPING SETS aggregate."""
+    r = roi.condition_sets(X.bets(spark, sf))
+    return r.select("condition", "label", "top_n", "n_races", F.col("n_hits").cast("long").alias("n_hits"), F.round("hit_rate", 6).alias("hit_rate"), F.round("roi_net", 5).alias("roi_net"))
+
+
 _WALK = BETS + ", " + """span as (select min(race_date) a, max(race_date) b from bets), win as (select k::integer w, a + (120 + 30 * k)::integer t0 from span, range(0, 1000) r(k) where a + (120 + 30 * k)::integer <= b),
 placed as (select w, true tune, bets.* from bets join win on race_date >= t0 - 120 and race_date < t0 union all select w, false, bets.* from bets join win on race_date >= t0 and race_date < t0 + 30),
 fit as (select w from placed group by w having count(*) filter (where tune) >= 50 and count(*) filter (where not tune) >= 10),

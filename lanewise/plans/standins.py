@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch  # noqa: F401
+
 #: Columns that, with race and lane, order an entrant's loads totally.
 SEQUENCE = ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
 
@@ -16,14 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share; only a local session may do without a named one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(where or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/lanewise-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
 def races(spark: SparkSession, sf: str) -> DataFrame:
     """race_key, race_date, venue, race_no and what the weather and payouts derive from."""
     t = lambda n: table(spark, sf, n)
