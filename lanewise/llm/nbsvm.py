@@ -16,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas
@@ -38,21 +39,54 @@ SYMBOLS = 3
 
 def form_of(token: str) -> str:
     if token[0].isalpha():
-        return "X" if token.isupper() and len(token) > 1 else "Xx" if token[0].isupper() else "x"
+        return "x" if token.islower() else "Xx" if token.istitle() else "X" if token.isupper() else "xX"
     return "0" if token[0].isdigit() else token[:SYMBOLS]
 
 
+class Forms(dict):
+    """Forms by token."""
+
+    def __missing__(self, token: str) -> str:
+        self[token] = form = form_of(token)
+        return form
+
+
+def forms_in(tokens: list[str], words: list[str]) -> set[tuple]:
+    """All runs of one to four forms, after an empty part. Texts have few different runs of four: the shorter ones are
+    read off those, and off the text's end."""
+    known = Forms()
+    forms = ["x" if low else known[t] for t, low in zip(tokens, map(str.islower, tokens))]
+    for i, again in enumerate(map(eq, words, words[1:]), 1):
+        if again:
+            forms[i] = "="
+    runs = set(zip(forms, forms[1:], forms[2:], forms[3:]))
+    threes = {r[:3] for r in runs}
+    twos = {r[:2] for r in threes}
+    shorter = {*threes, *twos, *((r[0],) for r in twos)}
+    end = forms[-3:]
+    return {*(("", *r) for r in runs), *(("", *r) for r in shorter)} | {("", *end[i:j]) for i in range(len(end)) for j in range(i + 1, len(end) + 1)}
+
+
+def words_and_forms(text: str | None) -> tuple[list[str], set[tuple]]:
+    tokens = TOKEN.findall(text or "")
+    words = list(map(str.lower, tokens))
+    return words, forms_in(tokens, words)
+
+
 def terms_of(text: str | None) -> set:
     """A word alone, pairs of words, and one to four forms after an empty part, which no word is."""
-    tokens = TOKEN.findall(text or "")
-    words = [t.lower() for t in tokens]
-    known: dict[str, str] = {}
-    forms = ["=" if i and words[i] == words[i - 1] else known.get(t) or known.setdefault(t, form_of(t)) for i, t in enumerate(tokens)]
-    terms: set = set(words)
-    terms.update(zip(words, words[1:]))
-    for n in range(1, 5):
-        terms.update(zip([""] * len(forms), *(forms[k:] for k in range(n))))
-    return terms
+    words, forms = words_and_forms(text)
+    return {*words, *zip(words, words[1:]), *forms}
+
+
+def numbers_of(text: str | None, number: dict) -> np.ndarray:
+    """The sorted numbers of a text's terms that have one."""
+    words, forms = words_and_forms(text)
+    found = set(map(number.get, set(words)))
+    found.update(map(number.get, zip(words, words[1:])))
+    found.update(map(number.get, forms))
+    found.discard(None)
+    return np.array(sorted(found), np.int64)
 
 
 def name_of(term: str | tuple) -> str:
@@ -130,8 +164,7 @@ class Model:
         self.number, self.r, self.weight, self.constant, self.curve = number, r, weight, constant, curve
 
     def score(self, text: str | None) -> float:
-        ids = np.array([self.number[t] for t in terms_of(text) & self.number.keys()], np.int64)
-        return sigmoid(self.curve[0] * margin(ids, self.r, self.weight, self.constant) + self.curve[1])
+        return sigmoid(self.curve[0] * margin(numbers_of(text, self.number), self.r, self.weight, self.constant) + self.curve[1])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -174,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, mo
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in batches:
-            rows = [np.sort(np.array([known[t] for t in terms_of(x) & known.keys()], np.int32)).tobytes() for x in b.column("text").to_pylist()]
+            rows = [numbers_of(x, known).astype(np.int32).tobytes() for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), b.column("fold"), pa.array(rows, pa.binary())], ["doc_id", "y", "fold", "ids"])
 
     # sample_rows rows at most, once for each model: that of all rows (FOLDS) and those without a fold.

@@ -64,4 +64,10 @@ def test_terms():
     assert nbsvm.terms_of(None) == set() == nbsvm.terms_of("  \n")
     found = nbsvm.terms_of("Go GO go!! 12")
     assert {"go", ("go", "go"), ("", "Xx"), ("", "="), ("", "Xx", "="), ("", "Xx", "=", "=", "!!"), ("", "=", "=", "!!", "0")} <= found
+    for text in ("Go GO go!! 12", "one", "a b", "A b 3", "x && x x_y __ 7 7 é É", "w " * 9, "İstanbul iSTANBUL McX ǅ"):
+        tokens = nbsvm.TOKEN.findall(text)
+        forms = ["=" if i and t.lower() == tokens[i - 1].lower() else nbsvm.form_of(t) for i, t in enumerate(tokens)]
+        assert nbsvm.words_and_forms(text)[1] == {("", *forms[i : i + n]) for n in range(1, 5) for i in range(len(forms) - n + 1)}
+        number = {t: i for i, t in enumerate(sorted(nbsvm.terms_of(text), key=repr)) if i % 2}
+        assert nbsvm.numbers_of(text, number).tolist() == sorted(number.values())
     assert {nbsvm.term_of(nbsvm.name_of(t)) for t in found} == found
