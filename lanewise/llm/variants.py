@@ -109,6 +109,8 @@ class Round:
     def edits(self, codes: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Row, place and character (0: none) of the edits of words of one length that pass, some at a time."""
         n = codes.shape[1]
+        if not n:
+            return
         shorter, equal = (self.stretches.meets(k, self.low, self.high) for k in (n - 1, n))
         if not shorter and not equal:
             return
