@@ -45,23 +45,82 @@ def chain(values):
     return seed
 
 
+def plain_units(text):
+    """(kind, body) and first and last line of a text's chunks of several lines and of its windows, by the definition."""
+    own, at = text.split("\n"), 0
+    for c in plain_chunks(text):
+        if len(c) > 1:
+            yield ("chunk", "\n".join(c)), at, at + len(c) - 1
+        at += len(c)
+    full = [i for i, x in enumerate(own) if SPACE.search(x)]
+    words = lambda a, b: sum(len(SPACE.findall(own[i])) for i in full[a : b + 1])
+    down = {(a, next((b for b in range(a, len(full)) if words(a, b) > 50), None)) for a in range(len(full))}
+    up = {(next((a for a in range(b, -1, -1) if words(a, b) > 50), None), b) for b in range(len(full))}
+    for a, b in down | up:
+        if a is not None and b is not None:
+            yield ("window", "\n".join(own[i] for i in full[a : b + 1])), full[a], full[b]
+
+
+def plain_dedup(texts):
+    units = {d: list(plain_units(t)) for d, t in texts.items()}
+    keeper = {}
+    for d in sorted(units):
+        for u, _, _ in units[d]:
+            keeper.setdefault(u, d)
+    out = {}
+    for d, own in units.items():
+        gone, first = set(), {}
+        for u, a, b in sorted(own, key=lambda x: x[1:]):
+            if keeper[u] != d:
+                gone.update(range(a, b + 1))
+            elif u in first:
+                gone.update(range(max(a, first[u] + 1), b + 1))
+            else:
+                first[u] = b
+        out[d] = "\n".join(x for i, x in enumerate(texts[d].split("\n")) if i not in gone)
+    return out
+
+
 def test_line_dedup_matches_a_loop(spark, small, docs):
-    seen, want = {}, {}
-    for d in sorted(docs):
-        kept = []
-        mine = set()
-        for c in plain_chunks(docs[d].text):
-            body = "\n".join(c)
-            if len(c) > 1 and (body in seen or body in mine):
-                continue
-            if len(c) > 1:
-                mine.add(body)
-            kept.append(body)
-        seen.update(dict.fromkeys(mine, d))
-        want[d] = "\n".join(kept)
     got = {r.doc_id: r for r in lines.op1_line_dedup(spark, small).collect()}
+    want = plain_dedup({d: docs[d].text for d in docs})
     assert {d: got[d].text for d in got} == want
-    assert sum(r.removed_chunks for r in got.values()) > 0 and all(r.n_lines - r.removed_lines >= 0 for r in got.values())
+    assert all(got[d].n_lines - got[d].removed_lines == (len(want[d].split("\n")) if want[d] or got[d].n_lines > got[d].removed_lines else 0) for d in got)
+    for d in got:
+        kept, at = set(want[d].split("\n")), 0
+        if len(set(docs[d].text.split("\n"))) == len(docs[d].text.split("\n")):
+            assert got[d].removed_chunks == sum(not kept & set(c) for c in plain_chunks(docs[d].text)) if want[d] else True
+    assert sum(r.removed_chunks for r in got.values()) > 0
+
+
+def test_line_dedup_asks_for_one_place(spark):
+    """A run whose pairs come from different documents isn't repeated; one that a single document holds whole is."""
+    line = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, b, c = line("a", 20), line("b", 20), line("c", 20)
+    texts = {1: f"{a}\n{b}\nx1", 2: f"{b}\n{c}\nx2", 3: f"{a}\n{b}\n{c}\nx3", 4: f"y\n{a}\n\n{b}\n{c}\nz"}
+    got = {r.doc_id: r.text for r in lines.dedupe_lines(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_dedup(texts)
+    assert {a, b, c} & set(got[3].split("\n")) and not {a, b, c} & set(got[4].split("\n"))
+
+
+def test_line_dedup_of_rows_without_ids(spark):
+    """They are documents of their own, told apart by their text; clashing names pass through."""
+    passage = "\n".join("p q r s t u v w x y z " * 3 + str(k) for k in range(3))
+    rows = [(None, f"one\n{passage}", 1, "s"), (None, f"two\n{passage}", 2, "s"), (5, f"five\n{passage}", 3, "s"), (9, f"nine\n{passage}", 4, "s"), (None, None, 5, "s"), (5, f"five\n{passage}", 6, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, spans string").withColumn("id", F.lit("i")).withColumn("th", F.lit(0)).withColumn("no_id", F.lit(1)).withColumn("doc", F.lit("d")).withColumn("n_lines", F.lit(-1))
+    got = {r._id: r for r in lines.dedupe_lines(docs).collect()}
+    assert {k: got[k].text for k in got} == {1: "one", 2: "two", 3: f"five\n{passage}", 4: "nine", 5: None, 6: f"five\n{passage}"}
+    assert got[1].removed_lines == 3 and (got[1].id, got[1].th, got[1].doc, got[1].spans) == ("i", 0, "d", "s")
+
+
+def test_line_dedup_of_many_lines(spark):
+    """Texts of many lines, and many rows without ids: both in bounded rows and linear time."""
+    long = "\n".join(f"l{i % 5_000}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, long), (2, "head\n" + long)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.dedupe_lines(docs).select("doc_id", "n_lines", "removed_lines").collect()}
+    assert got[1].removed_lines == 15_000 and got[2].removed_lines == 20_000
+    many = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a\nb\n"), F.col("id") % 1000).alias("text"))
+    assert lines.dedupe_lines(many).count() == 100_000
 
 
 def test_line_dedup_odd(odd, none):
