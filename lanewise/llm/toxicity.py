@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, stage, table
 
 LABELS, FOLDS, SAMPLE_ROWS, MOST_TERMS, PREFIX = ("toxic", "low_quality"), 4, 20_000, 20_000, 5
 #: In the chain's order, all from the two labels: toxic, toxic prose of fair quality, and toxic junk of low quality.
@@ -61,7 +61,7 @@ class Chain:
         x = (features - self.mean) / self.scale
         out = np.zeros((len(x), 0))
         for w in self.weights:
-            out = np.column_stack([out, sigmoid(with_one(np.column_stack([x, out])) @ w)])
+            out = np.column_stack([out, sigmoid(weighted_sum(np.column_stack([x, out]), w))])
         return out
 
 
@@ -69,6 +69,14 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def weighted_sum(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """w[0] + x w[1:], column by column: a row's sum has one order, however many rows stand in the batch."""
+    out = np.full(len(x), w[0])
+    for k in range(x.shape[1]):
+        out = out + x[:, k] * w[k + 1]
+    return out
+
+
 def with_one(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x])
 
@@ -140,7 +148,7 @@ def log_odds(rows: list, leave: int | None) -> dict[str, tuple[float, ...]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, most_terms: int = MOST_TERMS) -> Chain:
-    sample = labelled_sample(docs, labels, sample_rows)
+    sample = stage(labelled_sample(docs, labels, sample_rows), "toxicity-sample")  # sample_rows at most; read three times
     counts = term_counts(sample)
     n = sum(F.col(f"f{k}_n") for k in range(FOLDS))
     # The terms with the strongest evidence for either label: at most most_terms rows reach the driver.
