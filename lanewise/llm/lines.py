@@ -30,14 +30,18 @@ SPACES = " \t\n\x0b\x0c\r"
 OWNER = ["no_id", "id"]
 
 
-def chunks_of(lines: Column) -> Column:
-    """All chunks in order: struct(start, end), the first and the last line."""
+def hashes_of(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.xxhash64(x))
+
+
+def chunks_of(hashes: Column) -> Column:
+    """All chunks in order, from the lines' hashes: struct(start, end), the first and the last line."""
 
     def cut(h: Column) -> Column:
         ends = F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | (F.pmod(F.xxhash64(*(F.get(h, i - 1 - k) for k in range(WINDOW))), F.lit(DIVISOR)) == 0))
         return let(ends, lambda ends: F.transform(ends, lambda e, k: F.struct(F.coalesce(F.get(ends, k - 1), F.lit(0)).alias("start"), (e - 1).alias("end"))))
 
-    return let(F.transform(lines, lambda x: F.xxhash64(x)), cut)
+    return let(hashes, cut)
 
 
 def shortest(counts: Column) -> Column:
@@ -61,9 +65,9 @@ def shortest(counts: Column) -> Column:
     return let(F.struct(counts.alias("s1")), lambda known: level(1, known))
 
 
-def windows_of(lines: Column) -> Column:
+def windows_of(lines: Column, hashes: Column) -> Column:
     """struct(start, end, hash) of the distinct windows of a text's lines; lines without a word don't count."""
-    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.size(words_of(x)).alias("n"), F.xxhash64(x).alias("h"))), lambda x: x["n"] > 0)
+    full = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.size(words_of(x)).alias("n"), F.get(hashes, i).alias("h"))), lambda x: x["n"] > 0)
 
     def spans(own: Column) -> Column:
         counts, last = F.transform(own, lambda x: x["n"]), F.size(own) - 1
@@ -87,10 +91,13 @@ def body_of(lines: Column, kind: Column, start: Column, end: Column) -> Column:
 
 
 def units_of(lines: Column) -> Column:
-    """struct(kind, start, end, hash) of all chunks of several lines and all windows."""
-    chunks = F.transform(F.filter(chunks_of(lines), lambda c: c["end"] > c["start"]), lambda c: F.struct(F.lit(CHUNK).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(F.array_join(F.slice(lines, c["start"] + 1, c["end"] - c["start"] + 1), "\n")).alias("hash")))
-    windows = F.transform(windows_of(lines), lambda w: F.struct(F.lit(PASSAGE).alias("kind"), w["start"].alias("start"), w["end"].alias("end"), w["hash"].alias("hash")))
-    return F.concat(chunks, windows)
+    """struct(kind, start, end, hash) of all chunks of several lines and all windows; the hash is that of the lines' hashes."""
+
+    def of(h: Column) -> Column:
+        chunks = F.transform(F.filter(chunks_of(h), lambda c: c["end"] > c["start"]), lambda c: F.struct(F.lit(CHUNK).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.xxhash64(F.slice(h, c["start"] + 1, c["end"] - c["start"] + 1)).alias("hash")))
+        return F.concat(chunks, F.transform(windows_of(lines, h), lambda w: F.struct(F.lit(PASSAGE).alias("kind"), w["start"].alias("start"), w["end"].alias("end"), w["hash"].alias("hash"))))
+
+    return let(hashes_of(lines), of)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -143,7 +150,7 @@ def dedupe_lines(docs: DataFrame) -> DataFrame:
 
     def whole_chunks(lines: Column, kept: Column) -> Column:
         """A chunk has a kept line if a kept line's chunk is it: the chunks' ends below each kept line are counted."""
-        chunk_at = F.flatten(F.transform(chunks_of(lines), lambda c, k: F.array_repeat(k, c["end"] - c["start"] + 1)))
+        chunk_at = F.flatten(F.transform(chunks_of(hashes_of(lines)), lambda c, k: F.array_repeat(k, c["end"] - c["start"] + 1)))
         return let(chunk_at, lambda at: (F.element_at(at, -1) + 1 - F.size(F.array_distinct(F.transform(kept, lambda i: F.get(at, i))))).cast("long"))
 
     as_is = F.struct(F.col("doc.text").alias("text"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), none.alias("removed_lines"), none.alias("removed_chunks"))
