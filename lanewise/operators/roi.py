@@ -107,9 +107,23 @@ def best_conditions(report: DataFrame, by: Sequence[str] = ("top_n",)) -> DataFr
     return report.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def matching(races: DataFrame, chosen: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rows of the long form that meet a chosen condition (and window): an equi-join on condition and bin."""
-    return races.join(chosen.select(*by, "top_n", "condition", "label"), [*by, "condition", "label"])
+def matching(races: DataFrame, chosen: DataFrame, by: Sequence[str] = (), salts: int = 32) -> DataFrame:
+    """Rows of the long form that meet a chosen condition (and window), with its top_n: an equi-join on condition and bin.
+
+    A condition of two bins has half of all races in one key: races are dealt by a salt from their key, and the few chosen
+    rows are repeated for every salt, so that no task gets a bin whole.
+    """
+    key = [*by, "condition", "label"]
+    some = chosen.select(*key, "top_n", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    return races.withColumn("_salt", F.pmod(F.xxhash64("race_key"), F.lit(salts)).cast("int")).join(some, [*key, "_salt"]).drop("_salt")
+
+
+def matching_races(df: DataFrame, q: int = 4, by: Sequence[str] = ("top_n",)) -> DataFrame:
+    """race_key, true_order_rank, trifecta_odds, top_n, condition and label of the races that meet the best condition of
+    each top_n."""
+    long = stage(as_conditions(binned(df, q), ["race_key", "true_order_rank", "trifecta_odds"]), "condition-long")
+    chosen = stage(best_conditions(summarise(long).where(enough()), by), "condition-chosen")  # one row a top_n
+    return matching(long.drop("low", "high"), chosen)
 
 
 def roles_of(panes: DataFrame, last: int, tune: int, test: int) -> DataFrame:

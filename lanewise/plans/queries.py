@@ -125,7 +125,7 @@ def race_quantile_bins(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.with_quantile_bin(X.bets(spark, sf), "pl_prob", 4, "b", ["venue"]).select("race_key", F.col("b.id").alias("bin"))
 
 
-@query(BETS + " select 'trifecta_odds' \"column\", round(avg((trifecta_odds is null)::integer), 6) null_ratio, sum((trifecta_odds is null)::integer)::bigint nulls from bets union all select 'venue', 0.0, 0 from bets limit 2".replace(" limit 2", " group by 1"))
+@query(BETS + " select 'trifecta_odds' \"column\", round(avg((trifecta_odds is null)::integer), 6) null_ratio, sum((trifecta_odds is null)::integer)::bigint nulls from bets union all select 'venue', round(avg((venue is null)::integer), 6), sum((venue is null)::integer)::bigint from bets")
 def race_null_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.null_report(X.bets(spark, sf).select("trifecta_odds", "venue")), "null_ratio")
 
@@ -387,4 +387,4 @@ def race_decile_ends(spark: SparkSession, sf: str) -> DataFrame:
     return roi.decile_ends(race_decile_audit(spark, sf))
 
 
-from . import clean, ingest, stored  # noqa: E402, F401 - they register their queries
+from . import clean, ingest, stored, access, running  # noqa: E402, F401 - they register their queries

@@ -86,3 +86,10 @@ def day_windows(events: DataFrame, value: str, delay: str = "1 day") -> DataFram
 def week_windows(events: DataFrame, value: str, delay: str = "1 day") -> DataFrame:
     """The same from Monday to Sunday: the epoch was a Thursday, so weeks start four days on."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "7 days", "7 days", "4 days")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("week"), "n", "total")
+
+
+def month_windows(events: DataFrame, value: str, delay: str = "1 day") -> DataFrame:
+    """The same by calendar month, which no fixed window length gives: the watermark follows the months' first days, so
+    that a month closes when an event comes whose month began more than `delay` after it."""
+    months = events.withColumn("month", F.date_trunc("month", "ts")).withWatermark("month", delay)
+    return months.groupBy("month").agg(F.count("*").alias("n"), F.sum(value).alias("total"))
