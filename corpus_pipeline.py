@@ -30,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the multi-line chunks and passages that an earlier document has; none is dropped here. Null texts
-    stay null; repeated rows of one id keep the same lines; null ids count as one document before all others."""
+    stay null; equal texts of one id keep the same lines; rows without an id are documents by their text, after all others."""
     return columns_of(lines.dedupe_lines(docs))
 
 
