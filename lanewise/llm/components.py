@@ -9,9 +9,10 @@ from .common import stage
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
-    """One round over edges (u > v). Large: neighbours above a node move to its least neighbour; small: those below."""
+    """One round over edges (u > v). Large: neighbours above a node move to its least neighbour; small: those below.
+    Least neighbours are written, so that the join has two plain inputs and a hub's links are split among tasks."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
     moved = both.join(least, "u")
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

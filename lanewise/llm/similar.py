@@ -29,6 +29,8 @@ from .simhash import majority, near_links
 SHINGLE, SAMPLE_ROWS, COMMON = 5, 4_000, 50_000
 #: Least bits of a map, and most bits of a brief one.
 MAP_BITS, BRIEF_BITS = 512, 2048
+#: Members of a group that one row holds, about, and the ratio of a band's sizes: above 1.25, that of sizes that fit.
+CELL, BAND = 1024, 1.3
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
 
@@ -126,10 +128,39 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFra
     return both.where(shared * (NUM + DEN) >= (F.size("x") + F.size("y")) * NUM).select("a", "b")
 
 
-def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """xs: the sorted names of sets that share a shingle of their prefixes, each such list once."""
-    shared = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("xs"))
-    return shared.where(F.size("xs") > 1).select("xs").distinct()
+def candidate_members(nodes: DataFrame) -> DataFrame:
+    """g, least, size and node: the members of every group of sets that share a shingle of their prefixes, with the least
+    of them and their number. Shingles of the same sets make one group, told by their number, least, sum and exclusive or;
+    no list of members is gathered, and a crowded shingle is counted before the shuffle."""
+    shared = nodes.select("node", F.explode("keys").alias("key"))
+    found = shared.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least"), F.bit_xor("node").alias("x"), F.sum(F.hash("node").cast("long")).alias("s")).where("size > 1")
+    kept = stage(found.groupBy("size", "least", "x", "s").agg(F.min("key").alias("g")).select("g", "least", "size"), "similar-groups")
+    return stage(shared.join(kept, F.col("key") == F.col("g")).select("g", "least", "size", "node"), "similar-candidates")
+
+
+def apart_pairs(held: DataFrame, nodes: DataFrame, cell: int = CELL) -> DataFrame:
+    """Pairs (a, b) of members of a group that have different labels, as sizes and brief maps let them; held: g, size,
+    node and label; nodes: node, n and brief. A group of more than `cell` members is cut by bands of n, of which only the same and the next
+    can hold a fitting size, and a band by the node's hash, into cells of about that many. Cells meet in pairs, so that a
+    row holds two cells at most, however large the group is."""
+    band = F.when(F.col("size") > cell, F.floor(F.log("n") / F.log(F.lit(BAND)))).otherwise(0).alias("band")
+    banded = stage(held.join(nodes.select("node", "n"), "node").select("g", band, "node", "label"), "similar-held")
+    counts = banded.groupBy("g", "band").agg(F.ceil(F.count("*") / cell).alias("parts"))
+    salted = banded.join(stage(counts, "similar-parts"), ["g", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    member = salted.join(nodes.select("node", F.struct("n", "node", F.col("brief").alias("map")).alias("y")), "node").withColumn("y", F.struct("y.n", "y.node", "label", "y.map"))
+    cells = stage(member.groupBy("g", "band", "part").agg(F.array_sort(F.collect_list("y")).alias("xs")), "similar-cells")
+    fits = lambda x, y: F.when(y["label"] != x["label"], may_be_close(x, y)).otherwise(False)
+    pair = lambda df: df.select("x", F.explode("ys").alias("y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    each = cells.select("xs", F.posexplode("xs").alias("i", "x"))
+    within = pair(each.select("x", F.filter(F.slice("xs", F.col("i") + 2, F.size("xs")), lambda y: fits(F.col("x"), y)).alias("ys")))
+    # Keys of cells are paired first; members then come to one pair of cells at a time.
+    key = lambda k: cells.select("g", F.struct("band", "part").alias(k))
+    near = F.abs(F.col("c.band") - F.col("d.band")) <= 1
+    met = stage(key("c").join(key("d"), "g").where(near & (F.col("c") < F.col("d"))), "similar-cell-pairs")
+    side = lambda k, xs: cells.select("g", F.struct("band", "part").alias(k), F.col("xs").alias(xs))
+    two = met.join(side("c", "xs"), ["g", "c"]).join(side("d", "ys"), ["g", "d"]).select("ys", F.explode("xs").alias("x"))
+    across = pair(two.select("x", F.filter("ys", lambda y: fits(F.col("x"), y)).alias("ys")))
+    return within.unionByName(across).distinct()
 
 
 def simhash_pairs(nodes: DataFrame) -> DataFrame:
@@ -147,7 +178,7 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(may_be_close(F.col("_a"), F.col("_b"))).select("a", "b")
 
 
-def near_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_texts(docs: DataFrame, carry: tuple[str, ...] = (), cell: int = CELL) -> DataFrame:
     """doc_id, the long columns in carry, component_id (the least doc_id reachable over pairs of similarity 0.8 or more)
     and label (which names the component, also where doc_ids repeat or are null) of every row.
 
@@ -171,25 +202,22 @@ def near_texts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     rows = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "similar-rows")
     once = rows.dropDuplicates(["node"])  # rows of one node have equal sets
     nodes = stage(once.select("node", "n", "fp", "map", "brief"), "similar-nodes")
-    groups = stage(candidate_groups(once.select("node", "keys")), "similar-groups")
+    members = candidate_members(once.select("node", "keys"))
     links = stage(similar_pairs(docs, rows, stage(close_pairs(simhash_pairs(nodes), nodes), "similar-first")), "similar-links")
     labels = lambda: components(links).select(F.col("node").alias("_n"), "label")
     named = lambda df, k, known: df.join(known, F.col(k) == F.col("_n"), "left").withColumn(f"label_{k}", F.coalesce("label", k)).drop("_n", "label")
     # Every set with the least of each group, unless they are in one component already.
     known = stage(labels(), "similar-labels")
-    stars = groups.select(F.get("xs", F.lit(0)).alias("a"), F.explode("xs").alias("b")).where("a <> b").distinct()
+    stars = members.select(F.col("least").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
     stars = named(named(stars, "a", known), "b", known).where("label_a <> label_b").select("a", "b")
     links = stage(links.unionByName(similar_pairs(docs, rows, stage(close_pairs(stars, nodes), "similar-stars"))), "similar-links")
-    # Members of a group that are in different components meet each other within the group's row, and leave it as pairs
+    # Members of a group that are in different components meet each other within rows of cells, and leave them as pairs
     # only where sizes and brief maps let them.
     known = stage(labels(), "similar-labels")
-    member = stage(named(groups.select(F.xxhash64("xs").alias("g"), F.explode("xs").alias("node")), "node", known), "similar-members")
-    mixed = member.groupBy("g").agg(F.min("label_node").alias("_l"), F.max("label_node").alias("_m")).where("_l <> _m").select("g")
-    held = member.join(mixed, "g").join(nodes.select("node", "n", F.col("brief").alias("map")), "node")
-    each = held.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("n", "node", F.col("label_node").alias("label"), "map"))).alias("xs"))
-    other = F.filter(F.slice("xs", F.col("i") + 2, F.size("xs")), lambda y: F.when(y["label"] != F.col("x.label"), may_be_close(F.col("x"), y)).otherwise(False))
-    rest = each.select("xs", F.posexplode("xs").alias("i", "x")).select("x", F.explode(other).alias("y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = close_pairs(stage(rest, "similar-apart"), nodes)
+    member = stage(named(members.drop("least"), "node", known).withColumnRenamed("label_node", "label"), "similar-members")
+    mixed = member.groupBy("g").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l <> _m").select("g")
+    held = member.join(stage(mixed, "similar-mixed"), "g")
+    rest = close_pairs(stage(apart_pairs(held, nodes, cell), "similar-apart"), nodes)
     links = stage(links.unionByName(similar_pairs(docs, rows, stage(rest, "similar-rest"))), "similar-all")
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     labelled = stage(named(least, "node", labels()).select("node", F.col("label_node").alias("label"), "least"), "similar-named")

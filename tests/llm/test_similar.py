@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from lanewise.llm import similar
 from lanewise.llm.common import table
 
@@ -55,6 +57,51 @@ def test_planted(spark):
     assert pairs > 100 and got == want
 
 
+def test_planted_in_small_cells(spark):
+    texts = planted()
+    # A passage that unlike texts share makes a crowd whose members stay apart but for a few.
+    rng, passage = random.Random(6), " ".join(f"p{i}" for i in range(12))
+    for _ in range(60):
+        texts[len(texts)] = passage + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(20, 60)))
+    for i in range(5):
+        texts[len(texts)] = texts[len(texts) - 60] + f" end{i}"
+    want, _ = brute(texts)
+    got = {r.doc_id: r.component_id for r in similar.near_texts(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), cell=4).collect()}
+    assert got == want
+
+
+def test_cells_lose_no_pair(spark):
+    """All pairs of a crowded group with different labels that sizes and maps let through, whatever the cells hold."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(2**62), 2**62, 400)
+    nodes, rows = {}, []
+    for i in range(90):
+        own = np.unique(np.concatenate([base[: int(rng.integers(30, 400))], rng.integers(-(2**62), 2**62, 6)]))
+        nodes[i] = (len(own), similar.brief_map(similar.bit_map(own)))
+        rows += [(g, size, i, int(i % 7)) for g, size in ((1, 90), (2, 30)) if g == 1 or i < 30]
+    held = spark.createDataFrame(rows, "g long, size long, node long, label long")
+    known = spark.createDataFrame([(i, n, m.tolist()) for i, (n, m) in nodes.items()], "node long, n int, brief array<long>")
+
+    def close(i, j):
+        (n, x), (m, y) = nodes[i], nodes[j]
+        k = min(len(x), len(y))
+        fold = lambda z: z.reshape(-1, k)[0] | z.reshape(-1, k)[-1]
+        return 5 * min(n, m) >= 4 * max(n, m) and 9 * sum(int(v).bit_count() for v in (fold(x) ^ fold(y)).view(np.uint64)) <= n + m
+
+    want = {(i, j) for i in nodes for j in nodes if i < j and i % 7 != j % 7 and close(i, j)}
+    for cell in (5, 40, 1000):
+        assert {tuple(r) for r in similar.apart_pairs(held, known, cell).collect()} == want and want
+
+
+def test_hub(spark):
+    """One node with 200,000 links, and a chain on it."""
+    from lanewise.llm.components import components
+
+    links = spark.range(1, 200_001).selectExpr("0L a", "id b").unionByName(spark.range(200_000, 200_050).selectExpr("id a", "id + 1 b"))
+    got = components(links)
+    assert got.count() == 200_051 and got.where("label <> 0").count() == 0
+
+
 def test_stage_against_brute_force(spark, small):
     import corpus_pipeline
 
