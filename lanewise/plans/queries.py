@@ -387,4 +387,4 @@ def race_decile_ends(spark: SparkSession, sf: str) -> DataFrame:
     return roi.decile_ends(race_decile_audit(spark, sf))
 
 
-from . import clean, ingest, stored, access, running  # noqa: E402, F401 - they register their queries
+from . import clean, ingest, stored, access, running, models  # noqa: E402, F401 - they register their queries

@@ -84,3 +84,20 @@ def race_stream_months(spark: SparkSession, sf: str) -> DataFrame:
     """Calendar months that the watermark has closed, from a stream."""
     events = as_stream(spark, X.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value"), "events")
     return drained(spark, alerts.month_windows(events, "value"), "months").withColumn("total", F.round("total", 4))
+
+
+@query("with s as (" + ORACLES["race_send_once"] + """), o as (select jcd, hd, rno, rno || '-' || jcd official_tri, cast(rno * 100 + cast(jcd as int) as int) payout_yen,
+strptime(hd, '%Y%m%d') + interval 18 hours + case rno % 4 when 0 then interval 2 hours when 1 then interval 20 hours else interval 3 days end result_ts from s where rno % 4 <> 3)
+select s.jcd, s.hd, s.rno, s.sent, s.ts, s.top_trifecta, s.top_prob, o.official_tri, o.payout_yen, o.result_ts from s left join o on s.jcd = o.jcd and s.hd = o.hd and s.rno = o.rno and o.result_ts between s.ts and s.ts + interval 1 day""")
+def race_stream_settled(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts and their results as two streams: those that come within a day are met, a race without one or with a later
+    one is given out as open once both streams have passed it. A last row far ahead in each stream closes all races."""
+    ticks, closing = X.ticks(spark, sf)
+    sent = signals.send_once(signals.in_time(ticks, closing, 120), signals.thresholds(spark)).select("jcd", "hd", "rno", "sent", F.col("ts").cast("timestamp").alias("ts"), "top_trifecta", F.round("top_prob", 6).alias("top_prob"))
+    kind = F.col("rno") % 4
+    wait = F.when(kind == 0, F.expr("interval 2 hours")).when(kind == 1, F.expr("interval 20 hours")).otherwise(F.expr("interval 72 hours"))
+    official = closing.where(kind != 3).select("jcd", "hd", "rno", F.concat_ws("-", "rno", "jcd").alias("official_tri"), (F.col("rno") * 100 + F.col("jcd").cast("int")).cast("int").alias("payout_yen"), (F.col("close_ts") + wait).alias("result_ts"))
+    one = spark.range(1)
+    sent = sent.unionByName(one.selectExpr("'' jcd", "'' hd", "-1 rno", "false sent", "timestamp'2100-01-01' ts", "'' top_trifecta", "0D top_prob"))
+    official = official.unionByName(one.selectExpr("'' jcd", "'' hd", "-2 rno", "'' official_tri", "0 payout_yen", "timestamp'2100-01-01' result_ts"))
+    return drained(spark, alerts.settle_stream(as_stream(spark, sent, "sent"), as_stream(spark, official, "official")), "settled").where("rno > 0")
