@@ -2,8 +2,8 @@
 
 Texts are cut into units where no piece can cross: before each run of spaces, before line feeds, and between two
 characters that stand side by side in no piece. A first pass over the texts writes the distinct units of each block of
-texts, dealt to parts by a hash of the unit. The distinct units of all texts are encoded once: bounded-length substrings are exploded and equi-joined to the piece table, the edges are
-grouped by unit, and Spark's aggregate() folds the best path (the greatest sum of scores; of equal ones the one found
+texts, dealt to parts by a hash of the unit. The distinct units of all texts are encoded once: substrings up to the longest piece
+that begins like them are exploded and equi-joined to the piece table, the edges are grouped by unit, and Spark's aggregate() folds the best path (the greatest sum of scores; of equal ones the one found
 first in the order of start and length, as the library's unigram search does). The pieces then go back to the blocks,
 which a second pass gives as numbers, and each block writes its texts' ids. A character without a piece becomes its
 UTF-8 bytes' pieces.
@@ -14,10 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from array import array
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +39,11 @@ UNITS_AT_ONCE, PACKED_UNITS = 50_000, 50_000
 #: Fixed values of the format: the sign for a space, and what an unknown character costs below the least score.
 SPACE, UNKNOWN_COST = "▁", 10.0
 UNIT = re.compile(r"\n[^ \n]*| *[^ \n]+| +")
-#: How an edge is packed into a long: its end, its start, and the piece's id or, from UNKNOWN on, a character's code.
-END, START, UNKNOWN, MASK = 44, 28, 1 << 24, (1 << 28) - 1
+#: How an edge is packed into a long: its end, its start, and the piece's id or, from UNKNOWN on, a character's code or,
+#: from ODD on, the place of a piece among those whose score doesn't follow from the id.
+END, START, UNKNOWN, ODD, MASK = 44, 28, 1 << 24, 1 << 25, (1 << 28) - 1
+#: Characters by which substrings are told to begin like a piece.
+PREFIX = 4
 WORDS = "block long, grp int, part int, words string"
 TEXTS = "block long, docs binary, numbers binary, names binary"
 PACKED = "part int, words string, ids binary, sizes binary"
@@ -62,10 +63,23 @@ class Pieces:
         self.spelled = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else b"" if special(i) else model.id_to_piece(i).replace(SPACE, " ").encode() for i in ids]
         self.longest = max(len(p) for p, _, _ in self.rows)
         self.unknown = min(s for _, _, s in self.rows) - UNKNOWN_COST
+        self.rank()
         self.neighbours = sorted({p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)})
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p, _, _ in self.rows) or len(self.bytes) != 256 or len(self.spelled) > 1 << 16:
             raise ValueError("pieces must not cross units, every byte needs a piece, and ids must fit two bytes")
 
+    def rank(self) -> None:
+        """Codes of the pieces, and the longest piece by its first characters."""
+        # Scores of merges are ranks, so an id gives its score; only the others are listed (in a unigram model nearly all).
+        self.base = Counter(i + s for _, i, s in self.rows).most_common(1)[0][0]
+        self.odd = [(i, s) for _, i, s in self.rows if self.base - i != s]
+        odd = {i: ODD + k for k, (i, _) in enumerate(self.odd)}
+        self.codes = [(p, odd.get(i, i)) for p, i, _ in self.rows]
+        self.begins: dict[str, int] = {}
+        for p, _, _ in self.rows:
+            if len(p) >= PREFIX:
+                self.begins[p[:PREFIX]] = max(len(p), self.begins.get(p[:PREFIX], 0))
+
     def best_path(self, word: str, table: dict[str, tuple[int, float]]) -> list[int]:
         """The same search for one long unit; negative ids are characters without a piece."""
         n = len(word)
@@ -99,12 +113,29 @@ def spelled_key(key: str) -> str:
     return key.replace(" ", SPACE) if key[:1] in (" ", "\n") else SPACE + key
 
 
-class Numbers(dict):
-    """Numbers keys in the order of their first look-up."""
+def keys_in_order(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The keys of all texts (none null) in order, and how many each text has."""
+    plain = pc.and_(pc.greater(pc.binary_length(texts), 0), pc.invert(pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  "))))
+    keys = pc.split_pattern(pc.replace_substring(texts.filter(plain), "\n", " \n"), " ")
+    if len(keys) < len(texts):
+        others = pa.array([keys_of(t) for t in texts.filter(pc.invert(plain)).to_pylist()], keys.type)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        order = np.argsort(np.concatenate((np.flatnonzero(is_plain), np.flatnonzero(~is_plain))))
+        keys = pa.concat_arrays([keys, others]).take(pa.array(order))
+    return keys.flatten(), keys.value_lengths().to_numpy().astype(np.int64)
+
+
+def spelled_keys(keys: pa.StringArray) -> pa.StringArray:
+    whole = pc.or_(pc.starts_with(keys, " "), pc.starts_with(keys, "\n"))
+    return pc.if_else(whole, pc.replace_substring(keys, " ", SPACE), pc.binary_join_element_wise(SPACE, keys, ""))
 
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
+
+def numbered(chunks: list[pa.Array]) -> tuple[np.ndarray, pa.StringArray]:
+    """The number of each string, in the order of first sight, and the distinct strings."""
+    found = pa.chunked_array(chunks, pa.string()).dictionary_encode().chunks
+    if not found:
+        return np.zeros(0, np.int64), pa.array([], pa.string())
+    return np.concatenate([c.indices.to_numpy() for c in found]), found[-1].dictionary
 
 
 class Cuts:
@@ -117,18 +148,21 @@ class Cuts:
         self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
         self.joined[self.kind[[ord(a) for a, _ in neighbours]], self.kind[[ord(b) for _, b in neighbours]]] = True
 
-    def units(self, strings: list[str]) -> tuple[list[str], np.ndarray]:
+    def units(self, strings: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
         """The units of all strings (none empty) in order, and how many each string has."""
-        whole = "".join(strings)
-        if not whole:
-            return [], np.zeros(0, np.int64)
-        kind = self.kind[np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)))))
+        if not len(strings):
+            return strings, np.zeros(0, np.int64)
+        begin = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1]
+        data, begin = memoryview(strings.buffers()[2])[begin[0] : begin[-1]], begin - begin[0]
+        chars = np.frombuffer(bytes(data).decode().encode("utf-32-le"), np.uint32)
+        kind, size = self.kind[chars], np.ones(len(chars), np.int32)
+        for least in (0x80, 0x800, 0x10000):
+            size += chars >= least
+        start = np.cumsum(size, dtype=np.int32) - size  # bytes
         cut = np.concatenate(([True], ~self.joined[kind[:-1], kind[1:]]))
-        cut[begin[:-1]] = True
-        at = np.flatnonzero(cut)
-        starts = at.tolist()
-        return [whole[a:b] for a, b in zip(starts, [*starts[1:], len(whole)], strict=True)], np.diff(np.searchsorted(at, begin))
+        cut[np.searchsorted(start, begin[:-1])] = True
+        at = start[cut]
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(at, begin[-1:])), pa.py_buffer(data)), np.diff(np.searchsorted(at, begin))
 
 
 def taken(values: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -166,68 +200,65 @@ def blocks(docs: DataFrame, pieces: Pieces, block_chars: int, parts: int, groups
     """
     neighbours = pieces.neighbours
 
-    def words(name: int, own: list[str], part: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def words(name: int, own: pa.StringArray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.diff(part, prepend=-1))
-        ends, n = [*at[1:].tolist(), len(own)], len(at)
-        joined = [" ".join(own[a:b]) for a, b in zip(at.tolist(), ends, strict=True)]  # no unit has a space
-        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array([hash(name) % groups] * n, pa.int32()), pa.array(part[at], pa.int32()), pa.array(joined, pa.string())], names_of(WORDS))
+        n, joined = len(at), pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(at, len(own)), pa.int32()), own), " ")  # no unit has a space
+        yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array([hash(name) % groups] * n, pa.int32()), pa.array(part[at], pa.int32()), joined], names_of(WORDS))
 
-    def texts(name: int, numbers: np.ndarray, sizes: np.ndarray, n_units: int, ids: list, hashes: list) -> Iterator[pa.RecordBatch]:
+    def texts(name: int, numbers: np.ndarray, sizes: np.ndarray, n_units: int, ids: pa.Array, hashes: list) -> Iterator[pa.RecordBatch]:
         # The commonest units get the least numbers.
         names = np.argsort(-np.bincount(numbers, minlength=n_units), kind="stable")
         small = np.empty(n_units, np.int64)
         small[names] = np.arange(n_units)
         sink = pa.BufferOutputStream()
-        rows = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary())], ["doc_id", "n", "sha"])
+        rows = pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary())], ["doc_id", "n", "sha"])
         with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(rows)
         yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *(pa.array([x], pa.binary()) for x in (sink.getvalue().to_pybytes(), compressed(small[numbers]), compressed(names)))], names_of(TEXTS))
 
-    def block(name: int, cuts: Cuts, numbers: Numbers, flat: array, offsets: array, ids: list, hashes: list) -> Iterator[pa.RecordBatch]:
-        units, of, counts, left = Numbers(), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], iter(numbers)
-        while keys := [spelled_key(k) for k in islice(left, 20_000)]:  # so that few strings are held twice
-            found, n = cuts.units(keys)
-            of.append(np.fromiter(map(units.__getitem__, found), np.int64, len(found)))
-            counts.append(n)
-        of, counts = np.concatenate(of), np.concatenate(counts)
-        part = np.fromiter((zlib.crc32(u.encode("utf-8", "surrogatepass")) % parts for u in units), np.int64, len(units))
+    def block(name: int, cuts: Cuts, keys: list[pa.Array], sizes: list[np.ndarray], ids: list[pa.Array], hashes: list) -> Iterator[pa.RecordBatch]:
+        key, distinct = numbered(keys)
+        found, counts = cuts.units(spelled_keys(distinct))
+        of, units = numbered([found])
+        part = np.fromiter(map(zlib.crc32, units.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(units)) % parts
         order = np.argsort(part, kind="stable")
         if with_words:
-            own = list(units)
-            yield from words(name, [own[i] for i in order.tolist()], part[order])
+            yield from words(name, units.take(pa.array(order)), part[order])
         else:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            keys = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
-            before = np.concatenate(([0], np.cumsum(counts[keys])))[np.frombuffer(offsets, np.int32)]
-            yield from texts(name, taken(rank[of], np.cumsum(counts) - counts, counts, keys), np.diff(before), len(order), ids, hashes)
+            before = np.concatenate(([0], np.cumsum(counts[key])))[np.concatenate(([0], np.cumsum(np.concatenate(sizes))))]
+            yield from texts(name, taken(rank[of], np.cumsum(counts) - counts, counts, key), np.diff(before), len(order), pa.concat_arrays(ids), hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, task, at, size = Cuts(neighbours), None, 0, 0
-        numbers, flat, offsets, ids, hashes = Numbers(), array("i"), array("i", [0]), [], []
+        held = keys, sizes, ids, hashes = [], [], [], []
         for b in batches:
-            if b.num_rows:
-                task = b.column("task")[0].as_py()
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                text = text.as_py() or ""
-                if with_words:
-                    deque(map(numbers.__getitem__, keys_of(text)), 0)
-                else:
-                    flat.extend(map(numbers.__getitem__, keys_of(text)))
-                    offsets.append(len(flat))
-                    hashes.append(hashlib.sha256(decoded_form(text)).digest())
-                ids.append(doc_id)
-                size += len(text)
+            if not b.num_rows:
+                continue
+            task, text = b.column("task")[0].as_py(), b.column("text").fill_null("")
+            own, n = keys_in_order(text)
+            ends, since = np.concatenate(([0], np.cumsum(n))), 0
+            for to, chars in enumerate(pc.utf8_length(text).to_pylist(), 1):
+                size += chars
+                if size >= block_chars or to == b.num_rows:
+                    keys.append(own.slice(ends[since], ends[to] - ends[since]))
+                    sizes.append(n[since:to])
+                    ids.append(b.column("doc_id").slice(since, to - since))
+                    if not with_words:
+                        hashes.extend(hashlib.sha256(decoded_form(t)).digest() for t in text.slice(since, to - since).to_pylist())
+                    since = to
                 if size >= block_chars:
-                    yield from block(task << 32 | at, cuts, numbers, flat, offsets, ids, hashes)
-                    numbers, flat, offsets, ids, hashes, at, size = Numbers(), array("i"), array("i", [0]), [], [], at + 1, 0
+                    yield from block(task << 32 | at, cuts, *held)
+                    held, at, size = ([], [], [], []), at + 1, 0
+                    keys, sizes, ids, hashes = held
         if ids:
-            yield from block(task << 32 | at, cuts, numbers, flat, offsets, ids, hashes)
+            yield from block(task << 32 | at, cuts, *held)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("task")).mapInArrow(run, WORDS if with_words else TEXTS)
 
 
-def fold_path(edges: Column, scores: Column, unknown: float) -> Column:
+def fold_path(edges: Column, pieces: Pieces) -> Column:
     """Ids of the best path (a character without a piece: its negative code); edges: packed, in order, one at least to
     each end.
 
@@ -236,11 +267,18 @@ def fold_path(edges: Column, scores: Column, unknown: float) -> Column:
     """
     node = lambda score, edge: F.struct(score.alias("score"), edge.alias("edge"))
     start_of = lambda e: F.shiftright(e, START).bitwiseAND(F.lit((1 << END - START) - 1)).cast("int")
-    id_of = lambda e: e.bitwiseAND(F.lit(MASK)).cast("int")
+    code_of = lambda e: e.bitwiseAND(F.lit(MASK)).cast("int")
+    listed = lambda k, kind: F.split(F.lit(" ".join(repr(x[k]) for x in pieces.odd or [(0, 0)])), " ").cast(f"array<{kind}>")
+
+    def of(code: Column, ranked: Column, unknown: Column, odd: Column) -> Column:
+        return F.when(code < UNKNOWN, ranked).when(code < ODD, unknown).otherwise(F.get(odd, code - ODD))
+
+    def score_of(code: Column) -> Column:
+        return of(code, F.lit(pieces.base) - code, F.lit(pieces.unknown), listed(1, "double"))
 
     def step(best: Column, e: Column) -> Column:
         end = F.shiftright(e, END).cast("int")
-        score = F.get(best, start_of(e))["score"] + F.coalesce(F.get(scores, id_of(e)), F.lit(unknown))
+        score = F.get(best, start_of(e))["score"] + score_of(code_of(e))
         better = F.concat(F.slice(best, F.lit(1), end), F.array(node(score, e)))
         return F.when(end == F.size(best), F.array_append(best, node(score, e))).when(score > F.get(best, end)["score"], better).otherwise(best)
 
@@ -251,7 +289,7 @@ def fold_path(edges: Column, scores: Column, unknown: float) -> Column:
         )
 
     def let_edge(e: Column, ids: Column) -> Column:
-        piece = F.when(id_of(e) < UNKNOWN, id_of(e)).otherwise(F.lit(UNKNOWN) - id_of(e))
+        piece = of(code_of(e), code_of(e), F.lit(UNKNOWN) - code_of(e), listed(0, "int"))
         return F.struct(start_of(e).alias("at"), F.array_prepend(ids, piece).alias("ids"))
 
     return F.aggregate(edges, F.array(node(F.lit(0.0), F.lit(0).cast("long"))), step, back)
@@ -264,17 +302,18 @@ def encode_units(words: DataFrame, long_words: DataFrame, pieces: Pieces, keys:
     """
     spark, by = words.sparkSession, [*keys, "word"]
     # Of the model's fixed size. Pieces are met by a hash, which is a number, and then compared.
-    given = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double").select(F.xxhash64("piece").alias("hash"), "piece", "id"))
-    scores = [0.0] * (max(i for _, i, _ in pieces.rows) + 1)
-    for _, i, s in pieces.rows:
-        scores[i] = s
+    given = F.broadcast(spark.createDataFrame(pieces.codes, "piece string, code int").select(F.xxhash64("piece").alias("hash"), "piece", "code"))
+    begins = F.broadcast(spark.createDataFrame([*pieces.begins.items()] or [("", 0)], "prefix string, most int").select(F.xxhash64("prefix").alias("begin"), "most"))
     starts = words.select(*by, F.length("word").alias("n")).select(*by, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    parts = starts.select(*by, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("n") - F.col("start")))).alias("size"))
+    # Beginnings are met by the hash alone: those of equal ones by chance only try more sizes.
+    starts = starts.withColumn("h", F.xxhash64(F.substring("word", F.col("start") + 1, PREFIX))).join(begins, F.col("h") == F.col("begin"), "left")
+    most = F.least(F.col("n") - F.col("start"), F.greatest(F.coalesce("most", F.lit(0)), F.lit(PREFIX - 1)))
+    parts = starts.select(*by, "start", F.explode(F.sequence(F.lit(1), most)).alias("size"))
     parts = parts.withColumn("part_of", F.substring("word", F.col("start") + 1, F.col("size"))).withColumn("h", F.xxhash64("part_of"))
-    met = parts.join(given, (F.col("h") == F.col("hash")) & (F.col("part_of") == F.col("piece")), "left").where("id is not null or size = 1")
-    edge = F.shiftleft((F.col("start") + F.col("size")).cast("long"), END) + F.shiftleft(F.col("start").cast("long"), START) + F.coalesce("id", F.ascii("part_of") + UNKNOWN)
+    met = parts.join(given, (F.col("h") == F.col("hash")) & (F.col("part_of") == F.col("piece")), "left").where("code is not null or size = 1")
+    edge = F.shiftleft((F.col("start") + F.col("size")).cast("long"), END) + F.shiftleft(F.col("start").cast("long"), START) + F.coalesce("code", F.ascii("part_of") + UNKNOWN)
     lattices = met.select(*by, edge.alias("edge")).groupBy(*by).agg(F.sort_array(F.collect_list("edge")).alias("edges"))  # LONGEST_FOLDED * longest edges at most
-    folded = lattices.select(*by, fold_path(F.col("edges"), F.split(F.lit(" ".join(map(repr, scores))), " ").cast("array<double>"), pieces.unknown).alias("ids"))
+    folded = lattices.select(*by, fold_path(F.col("edges"), pieces).alias("ids"))
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {p: (i, s) for p, i, s in pieces.rows}
@@ -310,7 +349,7 @@ def pack_units(coded: DataFrame, byte_ids: dict[int, int]) -> DataFrame:
 
         for b in batches:
             ids, n = spelled_out(b.column("ids"), byte_ids)
-            part, words = b.column("part").to_numpy(), np.array(b.column("word").to_pylist(), dtype=object)
+            part, words = b.column("part").to_numpy(), b.column("word").to_numpy(zero_copy_only=False)
             for k in np.unique(part):
                 own = np.flatnonzero(part == k)
                 kept = held.setdefault(int(k), ([], [], []))
@@ -352,17 +391,19 @@ def encode(docs: DataFrame, model: str = MODEL, block_chars: int = BLOCK_CHARS)
     spelled = pieces.spelled
 
     def look_up(own: pa.Table, coded: pa.Table) -> pa.Table:
-        number, ids, sizes = {}, [], []
-        for words, packed_ids, packed_sizes in zip(*(coded.column(c).to_pylist() for c in ("words", "ids", "sizes")), strict=True):
-            words = words.split(" ")
-            number.update(zip(words, range(len(number), len(number) + len(words)), strict=True))
-            sizes.append(decompressed(packed_sizes, len(words)))
+        known, ids, sizes = pc.split_pattern(coded.column("words").combine_chunks(), " "), [], []
+        for n, packed_ids, packed_sizes in zip(known.value_lengths().to_pylist(), *(coded.column(c).to_pylist() for c in ("ids", "sizes")), strict=True):
+            sizes.append(decompressed(packed_sizes, n))
             ids.append(decompressed(packed_ids, int(sizes[-1].sum())))
         flat, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (ids, sizes))
+        words = pc.split_pattern(own.column("words").combine_chunks(), " ")
+        which = pc.index_in(words.flatten(), value_set=known.flatten())
+        if which.null_count:
+            raise RuntimeError("a unit was not encoded")
+        which, to = which.to_numpy().astype(np.int64), np.cumsum(words.value_lengths().to_numpy())[:-1]
         start, out = np.cumsum(n) - n, []
-        for block, part, words in zip(*(own.column(c).to_pylist() for c in ("block", "part", "words")), strict=True):
-            which = np.array([number[w] for w in words.split(" ")], np.int64)
-            out.append((block, part, len(which), compressed(taken(flat, start, n, which)), compressed(n[which])))
+        for block, part, these in zip(*(own.column(c).to_pylist() for c in ("block", "part")), np.split(which, to) if len(own) else [], strict=True):
+            out.append((block, part, len(these), compressed(taken(flat, start, n, these)), compressed(n[these])))
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names_of(CODED))
 
