@@ -1,4 +1,4 @@
-"""Units of texts in whole columns against their definition, and scores told by ids."""
+"""Units of texts in whole columns against their definition, scores told by ids, and the size of the plan."""
 
 import random
 
@@ -38,3 +38,9 @@ def test_scores_that_no_id_tells(spark):
     df = spark.createDataFrame([(w,) for w in words], "word string")
     rows = {r.word: r.ids for r in pieces.encode_units(df, df.limit(0), model).collect()}
     assert rows == {w: model.best_path(w, found) for w in words}
+
+
+def test_plan_holds_no_score_table(spark):
+    """The driver keeps each plan's text several times, so it must not hold the scores of all pieces."""
+    df = spark.createDataFrame([("▁the",)], "word string")
+    assert len(pieces.encode_units(df, df, pieces.Pieces())._jdf.queryExecution().toString()) < 100_000
