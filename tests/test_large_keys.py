@@ -23,6 +23,6 @@ def shifted(spark, small, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["race_program_entries"])
+@pytest.mark.parametrize("name", ["race_program_entries", "race_report_rows"])
 def test_numbers_of_five_digits(spark, shifted, name):
     same(spark, shifted, name, QUERIES, ORACLES)
