@@ -208,3 +208,17 @@ def test_documents_are_merged_by_field(spark, tmp_path):
     assert {(r.id, r.a, r.b) for r in got.collect()} == want
     readers.compact_documents(spark, str(tmp_path / "d"), str(tmp_path / "e"), ["id"], ["at"])
     assert {(r.id, r.a, r.b) for r in readers.read_documents(spark, str(tmp_path / "e"), ["id"], ["at"]).collect()} == want
+
+
+def test_pages_of_one_form_share_a_shape_and_odd_ones_say_the_same(spark):
+    """A page of plain tags never meets the standard parser; the same page with a mark that only that reads gives the same."""
+    before = pages.before_page(BEFORE)
+    assert pages.Tree(BEFORE).plain and pages.Tree(RESULT).plain and pages.Tree(BEFORE).shape is pages.Tree(BEFORE.replace("4321", "999999")).shape
+    for odd in ("<td a='1'></td>", "<script>if (a<b) {}</script>", "<!-- a > b -->", "x > y"):
+        assert not pages.Tree(BEFORE + odd).plain and pages.before_page(BEFORE + odd) == before
+    assert pages.before_page(BEFORE.replace("山田", "山 &amp; 田"))["racers"][0]["name"] == "山 & 田"
+    assert pages.before_page(BEFORE, {"place"})["racers"] == [] and pages.before_page(BEFORE, {"weather"})["weather"] == before["weather"]
+    assert len(before["racers"]) == 2 and [len(x) for x in (pages.result_page(RESULT)["finishers"], pages.result_page(RESULT, {"payouts"})["finishers"])] == [1, 0]
+    racers, weather, meta = pages.before_rows(spark.createDataFrame([("a", BEFORE)], "path string, html string"))
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (racers, weather, meta)]
+    assert ["weather" in plans[0], "racers" in plans[1], "racers" in plans[2]] == [False] * 3 and all("MapInArrow" in p for p in plans)
