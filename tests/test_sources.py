@@ -222,3 +222,18 @@ def test_pages_of_one_form_share_a_shape_and_odd_ones_say_the_same(spark):
     racers, weather, meta = pages.before_rows(spark.createDataFrame([("a", BEFORE)], "path string, html string"))
     plans = [x._jdf.queryExecution().executedPlan().toString() for x in (racers, weather, meta)]
     assert ["weather" in plans[0], "racers" in plans[1], "racers" in plans[2]] == [False] * 3 and all("MapInArrow" in p for p in plans)
+
+
+def test_reports_are_parsed_without_a_shuffle(results, program):
+    """A block's lines stay in its row, so reports of any number cost no shuffle and no sort."""
+    for df in (reports.result_races(results), *reports.result_rows(results), reports.result_payouts(results), reports.program_races(program), reports.program_entries(program)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Exchange", "Window", "Sort"))
+
+
+def test_report_files_are_packed(spark):
+    from lanewise.plans import queries  # noqa: F401 - it registers what ingest needs
+    from lanewise.plans import ingest
+
+    files = ingest.written_reports(spark, "", spark.createDataFrame([("24KBGN\nx\n24KEND",), ("y",)], "value string").coalesce(1)).collect()
+    assert [(f.source_file.endswith(".txt.gz"), f.text) for f in files] == [(True, "24KBGN\nx\n24KEND\ny\n")]
