@@ -43,10 +43,10 @@ def hundredths(c: str) -> Column:
 
 
 def written_reports(spark: SparkSession, sf: str, text: DataFrame) -> DataFrame:
-    """The texts as report files of many blocks, read again."""
+    """The texts as packed report files of many blocks, read again."""
     path = X.scratch(spark, "reports")
-    text.write.option("maxRecordsPerFile", 500).text(path)
-    return readers.read_reports(spark, path)
+    text.write.option("maxRecordsPerFile", 500).option("compression", "gzip").text(path)
+    return readers.read_reports(spark, path, pattern="*.txt.gz")
 
 
 def result_files(spark: SparkSession, sf: str) -> DataFrame:
