@@ -237,3 +237,29 @@ def test_report_files_are_packed(spark):
 
     files = ingest.written_reports(spark, "", spark.createDataFrame([("24KBGN\nx\n24KEND",), ("y",)], "value string").coalesce(1)).collect()
     assert [(f.source_file.endswith(".txt.gz"), f.text) for f in files] == [(True, "24KBGN\nx\n24KEND\ny\n")]
+
+
+def test_staging_rows_are_read_batch_by_batch():
+    """Beside a file's bytes only a batch of its rows is held, whatever the file's size."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 200_000
+    content = pa.py_buffer(b"\xef\xbb\xbfST,lane,name\n" + b".12,3,\"a\nb\"\n" * n + b"\xff,4,\n")
+    tracemalloc.start()
+    total, last = 0, None
+    for batch in readers.staged_batches(content, ["lane", "name", "ST", "tilt"], 5_000):
+        total, last = total + batch.num_rows, batch
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == n + 1 and last.to_pylist() == [{"lane": "4", "name": None, "ST": "�", "tilt": None}] and peak < 10e6
+
+
+def test_staging_files_are_bounded(spark, small, monkeypatch):
+    from lanewise.plans import queries
+    from lanewise.plans import ingest
+
+    monkeypatch.setattr(ingest, "STAGED_ROWS", 500)
+    files = spark.read.format("binaryFile").load(ingest.staged_files(spark, small)).select(F.size(F.split(F.col("content").cast("string"), "\n")).alias("n")).collect()
+    assert len(files) > 5 and max(f.n for f in files) <= 502 and queries
